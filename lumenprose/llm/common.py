@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few rows and of about ``size`` bytes of text at most (one longer text is one batch)."""
+    for batch in batches:
+        total = pc.cumulative_sum(pc.fill_null(pc.cast(pc.binary_length(batch.column(column)), pa.int64()), 0)).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, min(at + rows, int(total.searchsorted(before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, slices, table
+from .common import id_and_text, map_rows, table, text_slices
 from .tokens import tokenizer
 
 WINDOW = 1024
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = E
                 doc, start, length, n, seq, offset, ids = zip(*got[at : at + 4096], strict=True)
                 yield [doc, start, length, n, seq, offset, [x.astype("<u4").tobytes() for x in ids]]
 
-        for batch in slices(batches):
+        for batch in text_slices(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
                 packer.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
             yield from rows()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import id_and_text, map_rows, scratch, slices, table
+from .common import id_and_text, map_rows, scratch, slices, table, text_slices
 from .tokens import crc_of, tokenizer
 
 SEGMENT_TOKENS = 1 << 20
@@ -42,7 +42,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
             seq, start, size, names, docs = seq + 1, start + size, 0, [], []
             return row
 
-        for batch in slices(batches):
+        for batch in text_slices(batches, 1):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
                 names.append(doc_id)
                 docs.append(np.append(ids, ids.dtype.type(end_id)))

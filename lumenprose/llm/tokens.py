@@ -19,8 +19,9 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-#: Entries of each cache; beyond them the cache starts anew, so that a worker's memory is bounded.
-CACHE_ENTRIES = 300_000
+#: Entries of a generation of the cache. A full one becomes the old one, of which entries in use are taken over, so that a
+#: worker keeps twice as many at most (some 200 MB).
+CACHE_ENTRIES = 500_000
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    -⁠　﻿]")
 #: Pre-tokens for one call of the library.
 _AT_ONCE = 50_000
@@ -44,6 +45,7 @@ class WordCachedTokenizer:
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one character stands for one byte
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # a word, which has a blank before it in the text -> ids
 
     def _library(self, text: str) -> bytes:
@@ -87,7 +89,7 @@ class WordCachedTokenizer:
         """Ids of each text as bytes of ``dtype``."""
         out: list[bytes] = [b""] * len(texts)
         cuts: list[tuple[int, bytes, list[str]]] = []
-        new: set[str] = set()
+        used: set[str] = set()
         for i, text in enumerate(texts):
             if _ODD_SPACE.search(text) or any(s in text for s in self.special):
                 out[i] = self._library(text)
@@ -96,15 +98,20 @@ class WordCachedTokenizer:
             head = self._library(cut[0]) if cut[0] else b""  # the first piece has no blank before it
             del cut[0]
             cuts.append((i, head, cut))
-            new.update(set(cut).difference(self.words))
-        if len(new) > CACHE_ENTRIES // 2 and len(cuts) > 1:
+            used.update(cut)
+        if len(used) > CACHE_ENTRIES // 2 and len(cuts) > 1:
             half = len(texts) // 2
             return self.encode_bytes(texts[:half]) + self.encode_bytes(texts[half:])
-        if len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words.clear()
-            new = {w for _, _, cut in cuts for w in cut}
-        self._learn(list(new))
-        get = self.words.__getitem__
+        if len(self.words) + len(used) > CACHE_ENTRIES:
+            self.old, self.words = self.words, {}
+        new = used.difference(self.words)
+        again = new.intersection(self.old) if self.old else ()
+        for w in again:
+            self.words[w] = self.old[w]
+        self._learn(list(new.difference(again)))
+        known = self.words
+        here = {w: known[w] for w in used}  # few entries, so that they stay in the processor's cache
+        get = here.__getitem__
         for i, head, cut in cuts:
             out[i] = head + b"".join(map(get, cut))
         return out
