@@ -1,9 +1,9 @@
 """Operator 7 [native]: document fingerprints as Merkle trees over paragraphs and sections.
 
 A text's paragraphs are its lines; a paragraph's leaves are its clauses, cut
-to four words at most. A leaf's hash is taken of its text, a paragraph's
-of its leaves' hashes, a section's of up to ``SECTION`` paragraphs' hashes and the root's of the sections' hashes (all
-sha2-256). The fingerprint is written as ``root:sections/paragraphs/leaves``: the root in full, the other levels shortened,
+to four words at most. A leaf has a 32-bit hash of its text; a
+paragraph's hash is taken of its leaves' hashes, a section's of up to ``SECTION`` paragraphs' hashes and the root's of the
+sections' hashes and the text (sha2-256). The fingerprint is written as ``root:sections/paragraphs/leaves``: the root in full, the other levels shortened,
 so that equal texts have equal fingerprints, roots test equality, and going down only where branches differ locates edits.
 
 Only Spark SQL functions are used. Null texts are empty; an empty text has a root and one empty branch. Rows that repeat an
@@ -28,21 +28,25 @@ def _sha(x: Column) -> Column:
 
 
 def tree(text: Column) -> Column:
-    """For each paragraph (line) the array of its leaves' shortened hashes."""
-    return F.transform(F.split(text, r"\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(LEAVES), F.lit(0)), lambda y: F.substring(_sha(F.trim(y)), 1, LEAF)))
+    """For each paragraph (line) the array of its leaves' 32-bit hashes."""
+    return F.transform(F.split(text, r"\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(LEAVES), F.lit(0)), lambda y: F.hash(F.trim(y))))
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text (a string)."""
-    # a paragraph: its hash over the leaves in full text order, and the leaves
-    leaves = tree(text)
-    paragraphs = F.transform(leaves, lambda x: F.concat(F.substring(_sha(F.array_join(x, ".")), 1, BRANCH), F.lit("="), F.array_join(x, ".")))
-    count = F.size(paragraphs)
-    groups = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / SECTION).cast("int")), lambda i: F.slice(paragraphs, i * SECTION + 1, SECTION))
-    sections = F.transform(groups, lambda g: F.concat(F.substring(_sha(F.array_join(F.transform(g, lambda p: F.substring(p, 1, BRANCH)), ",")), 1, BRANCH), F.lit("("), F.array_join(g, ","), F.lit(")")))
-    root = _sha(F.array_join(F.transform(sections, lambda s: F.substring(s, 1, BRANCH)), "/"))
-    # two texts whose shortened hashes agree still differ in the root, which also covers the text itself
-    return F.concat(_sha(F.concat(root, _sha(text))), F.lit(":"), F.array_join(sections, "/"))
+def fingerprints(rows: DataFrame, **names: tuple[str, str]) -> DataFrame:
+    """``rows`` with a fingerprint for each name = (column of a text, column of its ``tree``).
+
+    Each level is a column of its own, so that it is computed once however often the next level uses it.
+    """
+    for name, (text, leaves) in names.items():
+        shown = F.transform(F.col(leaves), lambda x: F.array_join(F.transform(x, lambda v: F.lpad(F.lower(F.substring(F.hex(v.cast("long")), -LEAF, LEAF)), LEAF, "0")), "."))
+        rows = rows.withColumn("_joined", shown)
+        rows = rows.withColumn("_paragraphs", F.transform("_joined", lambda x: F.concat(F.substring(_sha(x), 1, BRANCH), F.lit("="), x)))
+        rows = rows.withColumn("_groups", F.transform(F.sequence(F.lit(0), F.floor((F.size("_paragraphs") - 1) / SECTION).cast("int")), lambda i: F.slice("_paragraphs", i * SECTION + 1, F.lit(SECTION))))
+        rows = rows.withColumn("_sections", F.transform("_groups", lambda g: F.concat(F.substring(_sha(F.array_join(F.transform(g, lambda p: F.substring(p, 1, BRANCH)), ",")), 1, BRANCH), F.lit("("), F.array_join(g, ","), F.lit(")"))))
+        # the root also covers the text, so texts whose shortened hashes all agree still differ in the root
+        root = _sha(F.concat(_sha(F.array_join(F.transform("_sections", lambda x: F.substring(x, 1, BRANCH)), "/")), _sha(F.col(text))))
+        rows = rows.withColumn(name, F.concat(root, F.lit(":"), F.array_join("_sections", "/"))).drop("_joined", "_paragraphs", "_groups", "_sections")
+    return rows
 
 
 def leaves_of(print_: Column) -> Column:
@@ -57,6 +61,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), 1.0).otherwise(dice).cast("double")
 
 
+def likeness_of(x: Column, y: Column, same: Column) -> Column:
+    """The same from the trees that two fingerprints hold."""
+    return F.when(same, 1.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1))).cast("double")
+
+
 def edits(a: Column, b: Column) -> Column:
     """Indexes (from 0) of the paragraphs of ``a`` whose branch is not in ``b``: where an edit lies."""
 
@@ -69,7 +78,7 @@ def edits(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next): the text of the next document by ascending id; after the last one, the first.
+    """(doc_id, text, tree, next, next_tree): also the next document by ascending id; after the last one, the first.
 
     Ids are dealt by ranges whose bounds (as many as partitions) are literals, so that each range is ordered by itself. The
     first document of a range is also sent to the range before it; only the ranges' first ids reach the driver.
@@ -87,9 +96,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     also = F.lit(None).cast("int")
     for k, r in enumerate(order):
         also = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(firsts[r]["doc_id"]).cast("long")), F.lit(order[k - 1])).otherwise(also)
-    sent = dealt.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")), F.struct(also.alias("at"), F.lit(1).alias("guest"))), lambda s: s["at"].isNotNull())).alias("s")).select("doc_id", "text", "s.at", "s.guest")
+    places = F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")), F.struct(also.alias("at"), F.lit(1).alias("guest"))), lambda x: x["at"].isNotNull())
+    sent = dealt.select("doc_id", "text", tree(F.col("text")).alias("tree"), F.explode(places).alias("s")).select("doc_id", "text", "tree", "s.at", "s.guest")
     window = Window.partitionBy("at").orderBy("guest", F.asc_nulls_first("doc_id"), "text")
-    return sent.withColumn("next", F.lead("text").over(window)).filter("guest = 0").select("doc_id", "text", F.coalesce("next", "text").alias("next"))
+    rows = sent.withColumn("next", F.lead("text").over(window)).withColumn("next_tree", F.lead("tree").over(window)).filter("guest = 0")
+    return rows.select("doc_id", "text", "tree", F.coalesce("next", "text").alias("next"), F.coalesce("next_tree", "tree").alias("next_tree"))
 
 
 def edited(text: Column, next_: Column) -> Column:
@@ -100,7 +111,10 @@ def edited(text: Column, next_: Column) -> Column:
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(table(spark, sf_dir, "documents"))
-    rows = rows.select("doc_id", "text", "next", edited(F.col("text"), F.col("next")).alias("edited"))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next")).alias("next_fingerprint"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next"))).withColumn("edited_tree", tree(F.col("edited")))
+    for name in ("tree", "edited_tree", "next_tree"):
+        rows = rows.withColumn(f"{name}_leaves", F.array_distinct(F.flatten(name)))
+    near = {"near_edited": ("edited_tree_leaves", F.col("text") == F.col("edited")), "near_next": ("next_tree_leaves", F.col("text") == F.col("next"))}
+    rows = rows.withColumns({k: likeness_of(F.col("tree_leaves"), F.col(leaves), same) for k, (leaves, same) in near.items()})
+    rows = fingerprints(rows, fingerprint=("text", "tree"), edited_fingerprint=("edited", "edited_tree"))
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
