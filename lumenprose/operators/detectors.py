@@ -18,7 +18,18 @@ from ..functions import text as X
 
 FINDING = ["doc_id", "seg_no", "rule", "tier", "conf", "fix", "start", "end", "source", "det"]
 I = "(?Udi)"
-S, M = F.col("masked"), F.col("m")
+
+
+def S() -> Column:
+    """A segment's masked text."""
+    return F.col("masked")
+
+
+def M() -> Column:
+    """A match."""
+    return F.col("m")
+
+
 REGISTRY: list[tuple[str, tuple[str, ...], Callable[[DataFrame], DataFrame]]] = []
 
 
@@ -36,43 +47,44 @@ def alternation(*words: str | list[str]) -> str:
 
 def hits(segs: DataFrame, rx: str, kinds: list[str] | None = None, groups: int = 0) -> DataFrame:
     """One row for each match of ``rx`` in segments of these kinds: the segment and the match ``m``."""
-    rows = segs.filter(S.rlike(rx))
+    rows = segs.filter(S().rlike(rx))
     if kinds:
         rows = rows.filter(F.col("kind").isin(kinds))
-    return rows.select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(X.matches(S, rx, groups)).alias("m"))
+    return rows.select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(X.matches(S(), rx, groups)).alias("m"))
 
 
 def group(k: int) -> Column:
-    return F.get(M["g"], F.lit(k - 1))
+    return F.get(M()["g"], F.lit(k - 1))
 
 
 def found(rows: DataFrame, rule: str | Column, start: Column | None = None, end: Column | None = None, conf: str | Column = "high", fix: str | Column = "", tier: int | Column | None = None, source: str | Column = "ste") -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     if tier is None and isinstance(rule, str):
         tier = L.TIER[rule] or 100
-    return rows.select("doc_id", "seg_no", lit(rule).alias("rule"), lit(tier).cast("int").alias("tier"), lit(conf).alias("conf"), lit(fix).alias("fix"), (M["start"] if start is None else start).cast("int").alias("start"), (M["end"] if end is None else end).cast("int").alias("end"), lit(source).alias("source"))
+    return rows.select("doc_id", "seg_no", lit(rule).alias("rule"), lit(tier).cast("int").alias("tier"), lit(conf).alias("conf"), lit(fix).alias("fix"), (M()["start"] if start is None else start).cast("int").alias("start"), (M()["end"] if end is None else end).cast("int").alias("end"), lit(source).alias("source"))
 
 
 def lookup(key: Column, of: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), key)
 
 
-WHOLE = (F.lit(0), F.length("text"))
+def whole() -> tuple[Column, Column]:
+    return F.lit(0), F.length("text")
 
 
 @detector("5.1", "6.3")
 def sentence_length(segs: DataFrame) -> DataFrame:
     safety = F.col("kind").isin("warning", "caution")
-    long_ = (F.col("kind") == "desc") | safety & ~X.is_imperative(S)
+    long_ = (F.col("kind") == "desc") | safety & ~X.is_imperative(S())
     rows = segs.filter(F.col("kind").isin(L.SENTENCES) & (F.col("words") > 20)).withColumn("long", long_)
     rows = rows.filter((F.col("words") > 25) | ~F.col("long") & (F.col("kind") != "note"))
-    return found(rows, F.when(F.col("long"), "6.3").otherwise("5.1"), *WHOLE, tier=60, fix="shorter sentences or a list")
+    return found(rows, F.when(F.col("long"), "6.3").otherwise("5.1"), *whole(), tier=60, fix="shorter sentences or a list")
 
 
 @detector("6.6")
 def paragraph_length(segs: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("idx"))
-    return found(segs.filter("kind = 'desc'").withColumn("nth", nth).filter("nth = 7"), "6.6", *WHOLE, fix="shorter paragraphs")
+    return found(segs.filter("kind = 'desc'").withColumn("nth", nth).filter("nth = 7"), "6.6", *whole(), fix="shorter paragraphs")
 
 
 @detector("8.1")
@@ -88,53 +100,53 @@ def contractions(segs: DataFrame) -> DataFrame:
     whole = lookup(base, {"can": "cannot", "ca": "cannot", "wo": "will not", "sha": "shall not"})
     ends = lookup(end, {"n't": " not", "'re": " are", "'ve": " have", "'ll": " will", "'d": " would (or had)", "'m": " am", "'s": " is (or has)"})
     fix = F.when((end == "n't") & whole.isNotNull(), whole).when((base == "let") & (end == "'s"), "let us").otherwise(F.concat(base, ends))
-    return found(rows, "4.2", fix=X.keep_case(M["text"], fix))
+    return found(rows, "4.2", fix=X.keep_case(M()["text"], fix))
 
 
 @detector("GR-6")
 def latin(segs: DataFrame) -> DataFrame:
     rows = hits(segs, I + r"(?<![\w.])(?:e\.\s?g\b\.?|i\.\s?e\b\.?|etc\b\.?|viz\.|cf\.|et\s+al\b\.?|vs\b\.?)")
-    key = F.regexp_replace(F.lower(M["text"]), r"(?U)[\s.]", "")
+    key = F.regexp_replace(F.lower(M()["text"]), r"(?U)[\s.]", "")
     return found(rows, "GR-6", fix=lookup(key, {"eg": "for example", "ie": "that is", "etc": "and other items", "viz": "that is", "cf": "refer to", "etal": "and others", "vs": "compared to"}))
 
 
 @detector("3.4")
 def complex_verbs(segs: DataFrame) -> DataFrame:
     modal = hits(segs, I + rf"\b(?:{alternation(L.MODALS)})\s+(?:not\s+)?have\s+(\w+)", L.SENTENCES, 1).filter(X.is_participle(group(1)))
-    been = hits(segs, I + r"\b(?:has|have|had|having)\s+been\b", L.SENTENCES).filter(~X.prev_word(S, M["start"]).isin(L.MODALS))
+    been = hits(segs, I + r"\b(?:has|have|had|having)\s+been\b", L.SENTENCES).filter(~X.prev_word(S(), M()["start"]).isin(L.MODALS))
     being = hits(segs, I + r"\b(?:am|is|are|was|were|be)\s+being\b", L.SENTENCES)
     going = hits(segs, I + r"\b(?:am|is|are|was|were)\s+going\s+to\b", L.SENTENCES)
-    used = hits(segs, I + r"\bused\s+to\s+(\w+)", L.SENTENCES, 1).withColumn("prev", X.prev_word(S, M["start"]))
+    used = hits(segs, I + r"\bused\s+to\s+(\w+)", L.SENTENCES, 1).withColumn("prev", X.prev_word(S(), M()["start"]))
     used = used.filter(~F.col("prev").isin([*L.BE, "been", "being", "get", "gets", "got"]) & ~F.lower(group(1)).isin("it", "this", "that", "the"))
     plain = [found(modal, "3.4"), found(been, "3.4"), found(being, "3.4"), found(going, "3.4", fix="WILL")]
-    return reduce(DataFrame.union, [*plain, found(used, "3.4", end=M["end"] - F.length(group(1)) - 1, conf=F.when(F.col("prev").isin(L.SUBJECT_PRONOUNS), "high").otherwise("low"))])
+    return reduce(DataFrame.union, [*plain, found(used, "3.4", end=M()["end"] - F.length(group(1)) - 1, conf=F.when(F.col("prev").isin(L.SUBJECT_PRONOUNS), "high").otherwise("low"))])
 
 
 @detector("3.2")
 def tenses(segs: DataFrame) -> DataFrame:
     perfect = hits(segs, I + r"\b(has|have|had)\s+(?:(?:not|never|already|just|also|always|recently|now|since)\s+)?([A-Za-z]+)\b", L.SENTENCES, 2)
-    perfect = perfect.filter((F.lower(group(2)) != "been") & X.is_participle(group(2)) & ~X.prev_word(S, M["start"]).isin(L.MODALS))
-    after = X.next_word(S, M["end"])
+    perfect = perfect.filter((F.lower(group(2)) != "been") & X.is_participle(group(2)) & ~X.prev_word(S(), M()["start"]).isin(L.MODALS))
+    after = X.next_word(S(), M()["end"])
     clear = (after == "") | after.isin(sorted({*L.DETERMINERS, *L.PREPOSITIONS}))
     going = hits(segs, I + r"\b(am|is|are|was|were|be)\s+(?:(?:not|still|currently|now|also|always|already|constantly|actively)\s+)?([A-Za-z]+)\b", L.SENTENCES, 2)
     word = F.lower(group(2))
-    going = going.filter(X.is_ing(word) & ~word.isin([*L.ING_ADJECTIVES, "being"]) & ~((word == "going") & (X.next_word(S, M["end"]) == "to")))
+    going = going.filter(X.is_ing(word) & ~word.isin([*L.ING_ADJECTIVES, "being"]) & ~((word == "going") & (X.next_word(S(), M()["end"]) == "to")))
     return found(perfect, "3.2", conf=F.when(clear, "high").otherwise("low")).union(found(going, "3.2"))
 
 
 @detector("GR-1")
 def make_sure(segs: DataFrame) -> DataFrame:
     rows = hits(segs, I + r"\b(?:make|makes|made|making)\s+sure\b(?=\s+\w)(?!\s+(?:that|of)\b)")
-    return found(rows, "GR-1", fix=X.keep_case(M["text"], F.concat(F.lower(M["text"]), F.lit(" that"))))
+    return found(rows, "GR-1", fix=X.keep_case(M()["text"], F.concat(F.lower(M()["text"]), F.lit(" that"))))
 
 
 @detector("1.14")
 def spelling(segs: DataFrame) -> DataFrame:
     table = segs.sparkSession.createDataFrame(list(L.spellings().items()), "british string, american string")
-    rows = hits(segs, r"(?Ud)(?<![\w'\-])[A-Za-z]{4,}(?![\w'\-])").withColumn("british", F.lower(M["text"]))
+    rows = hits(segs, r"(?Ud)(?<![\w'\-])[A-Za-z]{4,}(?![\w'\-])").withColumn("british", F.lower(M()["text"]))
     # the table has a fixed number of rows
     rows = rows.join(F.broadcast(table), "british")
-    return found(rows, "1.14", fix=X.keep_case(M["text"], F.col("american")))
+    return found(rows, "1.14", fix=X.keep_case(M()["text"], F.col("american")))
 
 
 @detector("1.3")
@@ -142,7 +154,7 @@ def meanings(segs: DataFrame) -> DataFrame:
     about = hits(segs, I + rf"\babout(?=\s+(?:\d|(?:a\s+|an\s+)?(?:{alternation(L.NUMBER_WORDS)})\b))")
     nouns = "instructions?|procedures?|steps?|rules?|guidelines?|guide|advice|directions?|recommendations?|regulations?|precautions?|polic(?:y|ies)|prompts?"
     follow = hits(segs, I + rf"\b(follow(?:s|ed)?)\s+(?:(?:the|these|all|this|those|our|my|your|its|their|any)\s+)?(?:\w+\s+)?(?:{nouns})\b", groups=1)
-    return found(about, "1.3", tier=80, fix=X.keep_case(M["text"], F.lit("approximately"))).union(found(follow, "1.3", tier=80, end=M["start"] + F.length(group(1)), fix=X.keep_case(group(1), F.lit("obey"))))
+    return found(about, "1.3", tier=80, fix=X.keep_case(M()["text"], F.lit("approximately"))).union(found(follow, "1.3", tier=80, end=M()["start"] + F.length(group(1)), fix=X.keep_case(group(1), F.lit("obey"))))
 
 
 @detector("GR-7")
@@ -150,7 +162,7 @@ def inclusive(segs: DataFrame) -> DataFrame:
     roles = "users?|operators?|developers?|engineers?|technicians?|persons?|customers?|readers?|administrators?|admins?|someone|anyone|everyone|each|every|pilots?|mechanics?|drivers?|students?|workers?|employees?|clients?|owners?|authors?|writers?|programmers?|members?|visitors?|callers?|reviewers?"
     pronouns = hits(segs, I + r"\b(?:he/she|she/he|s/he|his/her|him/her|himself|herself|he|she|him|his|hers|her)\b")
     nouns = hits(segs, I + r"\b(?:man|woman|men|women|manpower|workman|workmen)\b")
-    return found(pronouns, "GR-7", conf=F.when(S.rlike(I + rf"\b(?:{roles})\b"), "high").otherwise("low")).union(found(nouns, "GR-7", conf="low", fix="person, personnel"))
+    return found(pronouns, "GR-7", conf=F.when(S().rlike(I + rf"\b(?:{roles})\b"), "high").otherwise("low")).union(found(nouns, "GR-7", conf="low", fix="person, personnel"))
 
 
 OBJECTS = "it them this that these those everything".split()
@@ -187,11 +199,11 @@ def substitutions(segs: DataFrame, more: list[str] | None = None) -> DataFrame:
                 table.setdefault(p, r)
         pattern = "|".join("(?:" + "|".join(sorted((p.replace(" ", r"\s+") for p in _phrases(r)), key=len, reverse=True)) + ")" for r in rows)
         known = segs.sparkSession.createDataFrame([(p, r["use"], r["rule"], r["tier"], r["ctx"], r["conf"]) for p, r in table.items()], "phrase string, use string, w_rule string, w_tier int, ctx string, w_conf string")
-        got = hits(segs, I + rf"(?<![\w'\-])(?:{pattern})(?![\w'\-])").withColumn("phrase", F.regexp_replace(F.lower(M["text"]), r"(?U)\s+", " ")).join(F.broadcast(known), "phrase")
-        first = X.first_token(S)
-        name = (F.col("kind") != "title") & (M["start"] > first) & X.starts_upper(M["text"]) & ~F.regexp_extract(M["text"], r"^\S+", 0).rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
-        prev = X.prev_word(S, M["start"])
-        verb = (M["start"] == first) | prev.isin(L.VERB_CONTEXT) | (F.col("kind") == "proc") & prev.isin("and", "then", "or")
+        got = hits(segs, I + rf"(?<![\w'\-])(?:{pattern})(?![\w'\-])").withColumn("phrase", F.regexp_replace(F.lower(M()["text"]), r"(?U)\s+", " ")).join(F.broadcast(known), "phrase")
+        first = X.first_token(S())
+        name = (F.col("kind") != "title") & (M()["start"] > first) & X.starts_upper(M()["text"]) & ~F.regexp_extract(M()["text"], r"^\S+", 0).rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
+        prev = X.prev_word(S(), M()["start"])
+        verb = (M()["start"] == first) | prev.isin(L.VERB_CONTEXT) | (F.col("kind") == "proc") & prev.isin("and", "then", "or")
         got = got.filter((F.col("phrase") != "remaining") & ~name & ((F.col("ctx") != "v") | verb))
         out.append(found(got, F.col("w_rule"), fix=F.col("use"), conf=F.col("w_conf"), tier=F.col("w_tier"), source=source))
     return reduce(DataFrame.union, out)
@@ -202,7 +214,7 @@ detector("1.1", "1.2", "1.3", "9.3", "HS")(substitutions)
 
 def words_at(segs: DataFrame, rx: str, kinds: list[str]) -> DataFrame:
     """One row for each token of the segments that match ``rx``: the segment, all tokens ``toks``, the place ``i`` and the token ``m``."""
-    rows = segs.filter(F.col("kind").isin(kinds) & S.rlike(rx)).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S).alias("toks"))
+    rows = segs.filter(F.col("kind").isin(kinds) & S().rlike(rx)).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S()).alias("toks"))
     return rows.select("*", F.posexplode("toks").alias("i", "m"))
 
 
@@ -213,8 +225,8 @@ def nth(i: Column) -> Column:
 @detector("3.5")
 def ing_forms(segs: DataFrame) -> DataFrame:
     rows = words_at(segs, "(?i)ing", L.SENTENCES)
-    word, prev, after = F.lower(M["text"]), F.when(F.col("i") > 0, nth(F.col("i") - 1)).otherwise(""), nth(F.col("i") + 1)
-    gap = F.substring(S, F.get("toks", F.col("i") - 1)["end"] + 1, M["start"] - F.get("toks", F.col("i") - 1)["end"])
+    word, prev, after = F.lower(M()["text"]), F.when(F.col("i") > 0, nth(F.col("i") - 1)).otherwise(""), nth(F.col("i") + 1)
+    gap = F.substring(S(), F.get("toks", F.col("i") - 1)["end"] + 1, M()["start"] - F.get("toks", F.col("i") - 1)["end"])
     comma = (F.col("i") > 0) & (F.trim(gap) == ",")
     conf = F.when(prev.isin(L.ING_STRONG), "high").when(prev.isin(L.ING_WEAK), F.when(after.isin(L.DETERMINERS), "high").otherwise("low")).when((F.col("i") == 0) | comma, "low")
     rows = rows.filter(X.is_ing(word) & ~word.isin([*L.ING_ADJECTIVES, *L.ING_PREPOSITIONS, "being"]) & ~prev.isin([*L.BE, "been", "being"])).withColumn("conf", conf).filter("conf is not null")
@@ -227,10 +239,10 @@ def passive(segs: DataFrame) -> DataFrame:
     rows = hits(segs, I + rf"\b(am|is|are|was|were|be|been|being)\s+(?:(?:{adverbs})\s+)?([A-Za-z]+)\b", L.SENTENCES, 2)
     word = F.lower(group(2))
     rows = rows.filter((word != "been") & X.is_participle(word))
-    before = F.filter(F.slice(F.reverse(F.regexp_extract_all(F.lower(F.substring(S, F.lit(1), M["start"])), F.lit(X.TOKEN), F.lit(0))), 1, 3), lambda w: w != "not")
+    before = F.filter(F.slice(F.reverse(F.regexp_extract_all(F.lower(F.substring(S(), F.lit(1), M()["start"])), F.lit(X.TOKEN), F.lit(0))), 1, 3), lambda w: w != "not")
     last, second = F.coalesce(F.get(before, F.lit(0)), F.lit("")), F.coalesce(F.get(before, F.lit(1)), F.lit(""))
     must = (F.lower(group(1)) == "be") & (last.isin("must", "should", "shall") | (last == "to") & second.isin("is", "are", "has", "have", "needs", "need"))
-    agent = F.substring(S, M["end"] + 1, F.length(S)).rlike(r"(?Ud)^(?:\s+[\w'\-]+){0,3}?\s+[Bb]y\s+(?i:the|a|an|this|that|these|those|its|their|your|our|you|us|them|users?|operators?|people)\b")
+    agent = F.substring(S(), M()["end"] + 1, F.length(S())).rlike(r"(?Ud)^(?:\s+[\w'\-]+){0,3}?\s+[Bb]y\s+(?i:the|a|an|this|that|these|those|its|their|your|our|you|us|them|users?|operators?|people)\b")
     conf = F.when(agent | must, "high").when(word.isin(L.STATES) | ~F.col("kind").isin("proc", "warning", "caution"), None).otherwise("low")
     return found(rows.withColumn("conf", conf).filter("conf is not null"), "3.6", conf=F.col("conf"))
 
@@ -249,19 +261,19 @@ def phrasal(segs: DataFrame) -> DataFrame:
     w = F.lower(group(1))
     cut = lambda n, end="": F.concat(F.substring(w, F.lit(1), F.greatest(F.lit(0), F.length(w) - n)), F.lit(end))
     bases = F.when(w.endswith("ing"), F.array(w, cut(3), cut(3, "e"), cut(4))).when(w.endswith("ied") | w.endswith("ies"), F.array(w, cut(3, "y"))).when(w.endswith("ed"), F.array(w, cut(2), cut(1), cut(3))).when(w.endswith("s"), F.array(w, cut(1), cut(2))).otherwise(F.array(w))
-    return found(rows.filter(F.exists(bases, lambda b: b.isin(L.PHRASAL_VERBS))), "9.3", end=M["end"] + F.length(group(2)), conf="low")
+    return found(rows.filter(F.exists(bases, lambda b: b.isin(L.PHRASAL_VERBS))), "9.3", end=M()["end"] + F.length(group(2)), conf="low")
 
 
 @detector("2.1")
 def noun_clusters(segs: DataFrame) -> DataFrame:
-    rows = segs.filter(F.col("kind").isin(L.SENTENCES) & S.rlike(r"(?U)(?:[^\s,;:]+\s+){3}")).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S).alias("toks"))
+    rows = segs.filter(F.col("kind").isin(L.SENTENCES) & S().rlike(r"(?U)(?:[^\s,;:]+\s+){3}")).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S()).alias("toks"))
     run = "array<struct<start:int,end:int,up:boolean>>"
     none = F.array().cast(run)
     zero = F.struct(none.alias("run"), F.array().cast(f"array<{run}>").alias("done"), F.lit(0).alias("end"), F.lit("").alias("prev"))
 
     def step(s: Column, t: Column) -> Column:
         w = F.lower(t["text"])
-        joined = (s["prev"] != "") & F.substring(S, s["end"] + 1, t["start"] - s["end"]).rlike(r"(?U)^\s+$")
+        joined = (s["prev"] != "") & F.substring(S(), s["end"] + 1, t["start"] - s["end"]).rlike(r"(?U)^\s+$")
         kept = F.when(joined, s["run"]).otherwise(none)
         empty = F.size(kept) == 0
         plain = ~(w.isin(L.FUNCTION_WORDS) | X.is_adverb(w) | X.is_placeholder(w) | w.rlike(r"\p{Nd}"))
@@ -285,7 +297,7 @@ def noun_clusters(segs: DataFrame) -> DataFrame:
 @detector("5.2")
 def two_instructions(segs: DataFrame) -> DataFrame:
     rows = words_at(segs, I + r"\b(?:and|then)\b", ["proc"])
-    word, prev = F.lower(M["text"]), nth(F.col("i") - 1)
+    word, prev = F.lower(M()["text"]), nth(F.col("i") - 1)
     rows = rows.filter((F.col("i") > 0) & word.isin("and", "then") & ~((word == "then") & (prev == "and"))).withColumn("prev", prev)
     rest = F.slice("toks", F.col("i") + 2, F.size("toks"))
     skipped = F.aggregate(rest, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, t: F.struct((s["n"] + (s["go"] & F.lower(t["text"]).isin(L.STEP_ADVERBS)).cast("int")).alias("n"), (s["go"] & F.lower(t["text"]).isin(L.STEP_ADVERBS)).alias("go")), lambda s: s["n"])
@@ -298,30 +310,30 @@ def two_instructions(segs: DataFrame) -> DataFrame:
 @detector("5.3")
 def imperative(segs: DataFrame) -> DataFrame:
     rx = I + r"\b(?:you|users?|the\s+user|operators?|the\s+operator)\s+(?:must|should|need\s+to|needs\s+to|have\s+to|has\s+to|will\s+need\s+to|are\s+required\s+to|is\s+required\s+to)\b"
-    rest = F.substring(S, X.clause_start(S) + 1, F.length(S))
+    rest = F.substring(S(), X.clause_start(S()) + 1, F.length(S()))
     first = F.regexp_extract(rest, X.TOKEN, 0)
-    starts = segs.filter((F.col("kind") == "proc") & (F.col("idx") == 0) & ~S.rlike(rx) & ~X.is_imperative(S) & (F.lower(first).isin(L.NOT_VERB_START) | X.is_ing(first))).withColumn("at", X.first_token(S)).withColumn("size", F.length(first))
+    starts = segs.filter((F.col("kind") == "proc") & (F.col("idx") == 0) & ~S().rlike(rx) & ~X.is_imperative(S()) & (F.lower(first).isin(L.NOT_VERB_START) | X.is_ing(first))).withColumn("at", X.first_token(S())).withColumn("size", F.length(first))
     return found(hits(segs, rx, ["proc", "desc"]), "5.3", conf="low").union(found(starts, "5.3", F.col("at"), F.col("at") + F.col("size"), conf="low"))
 
 
 @detector("5.4")
 def condition_first(segs: DataFrame) -> DataFrame:
-    rows = hits(segs.filter(X.is_imperative(S)), I + r"\s(if|when|unless|whenever|in\s+case|provided|as\s+soon\s+as)\b", ["proc"], 1)
-    rows = rows.filter((M["start"] >= X.clause_start(S)) & ~X.prev_word(S, M["start"]).isin(L.ASK_VERBS))
+    rows = hits(segs.filter(X.is_imperative(S())), I + r"\s(if|when|unless|whenever|in\s+case|provided|as\s+soon\s+as)\b", ["proc"], 1)
+    rows = rows.filter((M()["start"] >= X.clause_start(S())) & ~X.prev_word(S(), M()["start"]).isin(L.ASK_VERBS))
     first = rows.groupBy("doc_id", "seg_no").agg(F.min("m").alias("m"))
-    return found(first, "5.4", M["start"] + 1, conf="low")
+    return found(first, "5.4", M()["start"] + 1, conf="low")
 
 
 @detector("5.5")
 def note_instruction(segs: DataFrame) -> DataFrame:
-    return found(segs.filter((F.col("kind") == "note") & X.is_imperative(S)), "5.5", X.first_token(S), F.length("text"), conf="low")
+    return found(segs.filter((F.col("kind") == "note") & X.is_imperative(S())), "5.5", X.first_token(S()), F.length("text"), conf="low")
 
 
 @detector("7.2")
 def safety_start(segs: DataFrame) -> DataFrame:
-    rows = segs.filter(F.col("kind").isin("warning", "caution") & (F.col("idx") == 0) & ~X.is_imperative(S)).withColumn("at", X.first_token(S)).filter("at >= 0")
-    first = F.regexp_extract(F.substring(S, F.col("at") + 1, F.length(S)), X.TOKEN, 0)
-    condition = X.clause_start(S) > F.length(F.regexp_extract(S, r"(?U)^\s*", 0))
+    rows = segs.filter(F.col("kind").isin("warning", "caution") & (F.col("idx") == 0) & ~X.is_imperative(S())).withColumn("at", X.first_token(S())).filter("at >= 0")
+    first = F.regexp_extract(F.substring(S(), F.col("at") + 1, F.length(S())), X.TOKEN, 0)
+    condition = X.clause_start(S()) > F.length(F.regexp_extract(S(), r"(?U)^\s*", 0))
     return found(rows, "7.2", F.col("at"), F.col("at") + F.length(first), conf=F.when(~condition & F.lower(first).isin(L.STATEMENT_START), "high").otherwise("low"))
 
 
@@ -329,7 +341,7 @@ def safety_start(segs: DataFrame) -> DataFrame:
 def safety_reason(segs: DataFrame) -> DataFrame:
     risk = I + r"\b(?:because|can|could|will|risk|danger|injur\w*|damage\w*|kill\w*|hot|toxic|flammable|explosive|sharp|poison\w*|pressuri[sz]ed|burn\w*|shock\w*)\b"
     alone = F.count("*").over(Window.partitionBy("doc_id", "block"))
-    return found(segs.filter(F.col("kind").isin("warning", "caution")).withColumn("n", alone).filter((F.col("n") == 1) & ~S.rlike(risk)), "7.3", *WHOLE, conf="low")
+    return found(segs.filter(F.col("kind").isin("warning", "caution")).withColumn("n", alone).filter((F.col("n") == 1) & ~S().rlike(risk)), "7.3", *whole(), conf="low")
 
 
 @detector("7.1")
@@ -341,7 +353,7 @@ def signal_word(segs: DataFrame) -> DataFrame:
 
 @detector("4.5")
 def articles(segs: DataFrame) -> DataFrame:
-    rows = segs.filter("kind = 'proc'").withColumn("toks", F.filter(X.tokens(S), lambda t: t["start"] >= X.clause_start(S)))
+    rows = segs.filter("kind = 'proc'").withColumn("toks", F.filter(X.tokens(S()), lambda t: t["start"] >= X.clause_start(S())))
 
     # how many leading tokens are step prefixes or "do not"
     words = F.transform("toks", lambda t: F.lower(t["text"]))
@@ -350,8 +362,8 @@ def articles(segs: DataFrame) -> DataFrame:
     rows = rows.withColumn("i", F.size(F.split(lead, " ")) - 1)
     verb, noun, after = F.get("toks", F.col("i")), F.get("toks", F.col("i") + 1), F.coalesce(F.get("toks", F.col("i") + 2)["text"], F.lit(""))
     rows = rows.withColumn("v", verb).withColumn("m", noun).withColumn("after", after).filter("m is not null").filter(F.lower(F.col("v.text")).isin(L.VERBS))
-    w, lw = M["text"], F.lower(M["text"])
-    gap = F.substring(S, F.col("v.end") + 1, M["start"] - F.col("v.end"))
+    w, lw = M()["text"], F.lower(M()["text"])
+    gap = F.substring(S(), F.col("v.end") + 1, M()["start"] - F.col("v.end"))
     bad = ~gap.rlike(r"(?U)^\s+$") | X.starts_upper(w) | lw.isin([*L.FUNCTION_WORDS, *L.BARE_OK, *L.VERBS]) | X.is_adverb(lw) | X.is_placeholder(w) | w.rlike(r"\p{Nd}") | X.is_ing(w) | lw.endswith("s") & ~lw.endswith("ss")
     label = F.col("after").rlike(r"^\p{Nd}|^\p{Lu}$")
     return found(rows.filter(~bad & ~label), "4.5", conf="low", fix=F.concat(F.lit("the "), w))
@@ -360,7 +372,7 @@ def articles(segs: DataFrame) -> DataFrame:
 @detector("GR-4")
 def this_alone(segs: DataFrame) -> DataFrame:
     rows = hits(segs, I + r"\b(this)\s+(?:is|was|can|could|will|would|causes?|caused|means|makes|lets|gives|shows|helps|occurs|prevents|results|happens|does|has|also)\b", L.SENTENCES, 1)
-    return found(rows, "GR-4", end=M["start"] + 4, conf="low")
+    return found(rows, "GR-4", end=M()["start"] + 4, conf="low")
 
 
 def detect(segs: DataFrame, names: list[str] | None = None, more_words: list[str] | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def finished(spark, text, allow=None):
 
 
 def test_quotes_and_allowed_terms_shield(spark):
-    _, _, f = finished(spark, "Read \"they utilize it\" now. Utilize it.")
+    _, _, f = finished(spark, "Read \"they utilize it\" here. Utilize it.")
     assert [(r.rule, r.quote, r.id) for r in f.collect()] == [("1.1", "Utilize", "F1")]
     _, _, f = finished(spark, "Utilize it; verify the seal.", ["verify"])
     assert sorted(r.quote for r in f.collect()) == [";", "Utilize"]
