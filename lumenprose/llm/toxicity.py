@@ -32,6 +32,7 @@ from .common import held_out, id_and_text, map_rows, slices, stored, table
 
 #: Labelled rows for learning, at most, and learned terminals, at most.
 SAMPLE, TERMINALS = 20_000, 3_000
+EVIDENCE = 12.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 
@@ -148,19 +149,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     rows = id_and_text(docs).join(F.broadcast(sample_of(labels, "toxic", sample)), "doc_id")
 
     rows = stored(rows, "toxicity-sample")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    each = rows.select("y", F.explode(words).alias("w"))
-    stems = rows.select("y", F.explode(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(*(F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in PREFIXES)))))).alias("w")).filter("w is not null")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    each = rows.select("doc_id", "y", F.explode(words).alias("w"))
+    stems = each.select("doc_id", "y", F.explode(F.array(*(F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in PREFIXES))).alias("w")).filter("w is not null")
     totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n, t = totals["n"], totals["t"]
     if not t or t == n:
         return Grammar({}, {})
     found: list[dict[str, float]] = []
     for part in (each, stems):
-        counts = part.groupBy("w").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
+        by_doc = part.groupBy("w", "doc_id").agg(F.max("y").alias("y"), F.count("*").alias("times"))
+        counts = by_doc.groupBy("w").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"), F.sum(F.col("y") * F.col("times")).alias("times"))
         odds = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("all") - F.col("toxic") + 0.5) / (n - t + 1.0))
-        # at least a few toxic documents, and hardly any other
-        best = counts.filter((F.col("toxic") >= 4) & (F.col("toxic") >= 0.8 * F.col("all"))).select("w", odds.alias("weight")).orderBy(F.desc("weight"), "w").limit(TERMINALS)
+        # evidence: how unlikely that share of toxic documents is, and that the word comes back inside of them
+        evidence = F.col("toxic") * F.log(F.col("toxic") * n / (F.col("all") * F.lit(float(t)))) + 0.7 * F.least(F.col("times") - F.col("toxic"), F.lit(10))
+        enough = (F.col("toxic") >= 2) & (F.col("toxic") >= 0.8 * F.col("all")) & (evidence >= EVIDENCE)
+        best = counts.filter(enough).select("w", odds.alias("weight")).orderBy(F.desc("weight"), "w").limit(TERMINALS)
         found.append({r["w"]: float(r["weight"]) for r in best.collect()})
     grammar = Grammar(*found)
 
