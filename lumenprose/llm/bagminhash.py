@@ -9,10 +9,10 @@ drawn for all shingles at once, stream by stream in order of time, and no stream
 components are filled: the larger a text, the fewer points of each shingle.
 
 ``BANDS`` bands of ``ROWS`` components give the candidates (a pair of similarity 0.8 is missed once in 20,000). Equal
-texts are one node. In a band's bucket all members are verified against the smallest one by exact multiset overlap; then
-components are formed, and only where a bucket still holds several components, pairs across them are verified too, unless
-the distances to the smallest member differ by more than the threshold's distance (1 - J is a metric), which rules a link
-out. So every candidate pair is in one class, verified, or ruled out, and no bucket of copies is expanded into pairs.
+texts are one node. In a band's bucket all members are verified against its hub by exact multiset overlap; then components
+are formed, and only where a bucket still holds several components, further members serve as hubs, and then pairs across
+components are verified too, unless their distances to the first hub differ by more than the threshold's distance (1 - J
+is a metric), which rules a link out. So every candidate pair is in one class, verified, or ruled out, and no bucket of copies is expanded into pairs.
 
 Defined cases: null texts are empty; texts without words are near-duplicates of equal texts only; a null id counts as the
 smallest one; rows that repeat an id are one document that has the links of all its texts; no rows give no rows.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, slices, stored, table
@@ -36,6 +36,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 _NULL_ID = -(1 << 63)
+#: Rounds in which further members of a bucket serve as its hub.
+ROUNDS = 2
+#: Members of a bucket up to which its pairs are listed, and of a block beyond.
+PAIRED, BLOCK = 24, 1024
 _U = np.uint64
 
 
@@ -163,10 +167,75 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, j): the exact similarity of each pair of nodes; ``texts`` has (doc_id, text)."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
     return map_rows(both, _verified, "a long, b long, j double").groupBy("a", "b").agg(F.max("j").alias("j"))
 
 
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    return rows.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _mixed(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with each member's component."""
+    rows = buckets.join(found.select(F.col("node").alias("doc"), "comp"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    keys = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def links(node: list[int], comp: list[int], texts: list[str], side: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (a < b) of similarity ``threshold`` between components, one for each two components at least.
+
+    ``side`` 0 is compared with side 1, or all with each other if there is one side. Overlaps are exact: shingles with
+    their number of occurrence are columns of 0 and 1 of which those that only one text has are left out.
+    """
+    rows, tokens, total = [], [], np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        u, c = multiset(text)
+        nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        tokens.append(_mix(np.repeat(u, c) + nth.astype(np.uint64) * _U(0xA24BAED4963EE407)))
+        rows.append(np.full(len(nth), k))
+        total[k] = len(nth)
+    row, token = np.concatenate(rows), np.concatenate(tokens)
+    _, column, times = np.unique(token, return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    row, (_, column) = row[kept], np.unique(column[kept], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((len(texts), len(texts)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        x = np.zeros((len(texts), 4096), dtype=np.float32)
+        x[row[a:b], column[a:b] - first] = 1
+        overlap += x @ x.T
+    sides, comps = np.array(side), np.array(comp)
+    similar = overlap >= threshold * (total[:, None] + total[None, :] - overlap) - 1e-6
+    similar &= (comps[:, None] < comps[None, :]) & (overlap > 0)
+    if sides.any() and not sides.all():
+        similar &= sides[:, None] != sides[None, :]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        out.setdefault((comp[i], comp[j]), (min(node[i], node[j]), max(node[i], node[j])))
+    return list(out.values())
+
+
+def _linked(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components in large buckets, which are cut into blocks of ``BLOCK`` members; each two blocks meet."""
+    order = Window.partitionBy("key").orderBy("doc")
+    rows = left.select("key", "doc", "comp", "n", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int").alias("block"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    other = F.sequence(F.lit(0), blocks - 1)
+    rows = rows.withColumn("meets", F.explode(other)).select("key", "doc", "comp", F.least("block", "meets").alias("x"), F.greatest("block", "meets").alias("y"), (F.col("block") > F.col("meets")).cast("int").alias("side"))
+    rows = rows.join(texts.select(F.col("doc_id").alias("doc"), "text").hint("merge"), "doc")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        found = links(rows.column("doc").to_pylist(), rows.column("comp").to_pylist(), rows.column("text").to_pylist(), rows.column("side").to_pylist(), threshold)
+        return pa.table({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=schema)
+
+    return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of each row; class_id is the smallest id of the class."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -183,26 +252,46 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # equal texts are one node, named by its smallest id
     reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = stored(signed.join(reps, ["h1", "h2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    rows = members.select(F.explode("bands").alias("key"), F.col("rep").alias("doc"))
-    hubs = rows.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).filter("hub < top").select("key", "hub")
-    buckets = stored(rows.join(hubs, "key").select("key", "doc", "hub"), "buckets")
-    pairs = stored(buckets.filter("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = stored(base.join(nodes, "doc_id", "left_semi"), "texts")
-    checked = stored(verify(pairs, texts), "checked")
-    edges = checked.filter(F.col("j") >= threshold).select("a", "b")
-    found = components(edges)
-
-    # what is left: buckets that hold several components
-    distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("doc"), (1 - F.col("j")).alias("far"))
-    placed = buckets.distinct().join(distance, ["hub", "doc"], "left").join(found.select(F.col("node").alias("doc"), "comp"), "doc", "left").select("key", "doc", "hub", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("comp", "doc").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    left = stored(placed.filter("doc <> hub").join(mixed, "key", "left_semi").select("key", "doc", "far", "comp"), "left")
-    p, q = left.alias("p"), left.alias("q")
-    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") < F.col("q.comp")) & (F.abs(F.col("p.far") - F.col("q.far")) <= 1 - threshold + 1e-9)).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(verify(across, texts).filter(F.col("j") >= threshold).select("a", "b"), "more")
+    rows = members.select(F.explode("bands").alias("key"), F.col("rep").alias("doc")).distinct()
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(rows.join(sizes, "key"), "shared")
+    # the hub of a bucket is the member that shares most bands with others: the text that copies were made of, as a rule
+    known = shared.groupBy("doc").agg(F.sum("size").alias("rank"))
+    buckets = stored(shared.join(known, "doc").select("key", "doc", "rank"), "buckets")
+    nodes = buckets.select(F.col("doc").alias("doc_id")).distinct()
+    # merge joins of texts at every size, so that the plan for large inputs is the plan for small ones
+    texts = stored(base.join(nodes.hint("merge"), "doc_id", "left_semi"), "texts")
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("rank", (-F.col("doc")).alias("back"), "doc")).alias("h")).select("key", F.col("h.doc").alias("hub"))
+    placed = stored(buckets.join(hubs, "key"), "placed")
+    checked = stored(verify(_pairs(placed.filter("doc <> hub"), "hub", "doc"), texts), "checked")
+    found = components(checked.filter(F.col("j") >= threshold).select("a", "b"))
+
+    # what is left: buckets that still hold several components. In a few rounds the next member serves as the hub ...
+    far = checked.select("a", "b", (1 - F.col("j")).alias("far"))
+    near_hub = placed.withColumn("a", F.least("doc", "hub")).withColumn("b", F.greatest("doc", "hub")).join(far, ["a", "b"], "left").select("key", "doc", "hub", "rank", F.coalesce("far", F.lit(0.0)).alias("far"))
+    left = stored(_mixed(near_hub, found), "left")
+    order = Window.partitionBy("key").orderBy(F.desc("rank"), "doc")
+    left = stored(left.withColumn("nth", F.row_number().over(order)), "ranked")
+    for k in range(2, 2 + ROUNDS):
+        if not left.limit(1).count():
+            break
+        turn = left.filter(F.col("nth") == k).select("key", F.col("doc").alias("next"), F.col("comp").alias("next_comp"))
+        more = _pairs(left.join(turn, "key").filter("comp <> next_comp"), "next", "doc").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        checked = checked.union(stored(verify(more, texts), "checked"))
+        found = components(checked.filter(F.col("j") >= threshold).select("a", "b"))
+        left = stored(_mixed(left.drop("comp"), found), "left")
+    # ... then pairs across components are verified, but for those whose distances to the first hub rule a link out. Large
+    # buckets are compared in blocks inside of tasks, which give only links, never pairs
+    count = left.groupBy("key").agg(F.count("*").alias("n"))
+    left = left.join(count, "key")
+    p, q = left.filter(F.col("n") <= PAIRED).alias("p"), left.filter(F.col("n") <= PAIRED).alias("q")
+    close = F.abs(F.col("p.far") - F.col("q.far")) <= 1 - threshold + 1e-9
+    across = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") < F.col("q.comp")) & close & (F.col("p.doc") != F.col("p.hub")) & (F.col("q.doc") != F.col("q.hub")))
+    across = across.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    more = verify(across, texts).filter(F.col("j") >= threshold).select("a", "b").union(_linked(left.filter(F.col("n") > PAIRED), texts, threshold))
+    more = stored(more.distinct(), "more")
     if more.limit(1).count():
-        found = components(edges.union(more))
+        found = components(checked.filter(F.col("j") >= threshold).select("a", "b").union(more))
     named = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
     null = F.lit(None).cast("long")
     return named.select(F.when(F.col("doc_id") == _NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("class_id") == _NULL_ID, null).otherwise(F.col("class_id")).alias("class_id"))
