@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 #: Entries of a generation of the cache. A full one becomes the old one, of which entries in use are taken over, so that a
-#: worker keeps twice as many at most (some 200 MB).
-CACHE_ENTRIES = 500_000
+#: worker keeps twice as many at most (some 280 MB).
+CACHE_ENTRIES = 700_000
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    -⁠　﻿]")
 #: Pre-tokens for one call of the library.
 _AT_ONCE = 50_000
@@ -45,6 +45,7 @@ class WordCachedTokenizer:
         self.lengths = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.lengths[i] = len(token)  # one character stands for one byte
+        self.marks = {m: self._library(m) for m in ".,;:!?"}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # a word, which has a blank before it in the text -> ids
 
@@ -52,19 +53,30 @@ class WordCachedTokenizer:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        flat: list[str] = []
-        ends: list[int] = []
+        known = self.words
+        plain: list[str] = []
+        tailed: list[str] = []
+        other: list[str] = []
         for w in words:
             if w.isalpha():
-                flat.append(" " + w)
-            elif w[:-1].isalpha() and w[-1] in ".,;:!?":
-                flat.append(" " + w[:-1])
-                flat.append(w[-1])
+                plain.append(w)
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                tailed.append(w)
             else:
-                flat += self.pattern.findall(" " + w)
+                other.append(w)
+        # a word with a mark behind it is the word and the mark; many such words are known without the mark
+        bases = {w[:-1] for w in tailed}.difference(known).difference(plain)
+        plain += bases
+        flat = [" " + w for w in plain]
+        ends = list(range(1, len(flat) + 1))
+        for w in other:
+            flat += self.pattern.findall(" " + w)
             ends.append(len(flat))
         for at in range(0, len(flat), _AT_ONCE):
-            self._learn_parts(flat, words, ends, at, min(at + _AT_ONCE, len(flat)))
+            self._learn_parts(flat, plain + other, ends, at, min(at + _AT_ONCE, len(flat)))
+        marks = self.marks
+        for w in tailed:
+            known[w] = known[w[:-1]] + marks[w[-1]]
 
     def _learn_parts(self, flat: list[str], words: list[str], ends: list[int], a: int, b: int) -> None:
         """Ids of the pre-tokens a to b, added to the words that they belong to."""
