@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bisect
 import re
-import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -136,8 +135,3 @@ class WordCachedTokenizer:
 def tokenizer(name: str = "byte_bpe_50k.json") -> WordCachedTokenizer:
     """One for each Python worker."""
     return WordCachedTokenizer(name)
-
-
-def crc_of(ids: np.ndarray) -> int:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
