@@ -213,5 +213,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     name = "_stats"
     while name in docs.columns:
         name = "_" + name
-    with_stats = docs.withColumn(name, F.struct(*(c.alias(k) for k, c in statistics(text).items())))
+    # a generated column: the planner doesn't push the test below it, where each statistic would be computed for each rule
+    with_stats = docs.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items())))).alias(name))
     return with_stats.filter(model.column({k: F.col(f"{name}.{k}") for k in NAMES}) >= threshold).drop(name)
