@@ -48,7 +48,7 @@ def locate(items: DataFrame, segs: DataFrame, quote: str = "quote") -> DataFrame
     order = Window.partitionBy("doc_id", "n").orderBy(F.when(has, 0).otherwise(1), F.when(near, 0).otherwise(1), F.when(near, F.abs(F.col("_at") - F.col("_line"))), "seg_no")
     best = rows.withColumn("_has", F.coalesce(has, F.lit(False))).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
     # the place in the text: white space in the text may be longer than the quote's
-    before = F.length(F.substring_index(flat, F.col("_words"), 1))
+    before = F.length(F.call_function("substring_index", flat, F.col("_words"), F.lit(1)))
     start = F.when(F.col("_words") == "", 0).otherwise(_unflattened(low, before))
     end = F.when(F.col("_words") == "", F.length("text")).otherwise(_unflattened(low, before + F.length("_words")))
     hit = F.col("_has")
