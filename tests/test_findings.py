@@ -108,3 +108,12 @@ def test_views_and_settings(spark):
     assert got["level"] == 100 and got["allow"] == ["pump", "seal"] and got["warnings"]
     with pytest.raises(ValueError):
         scoring.parse_level(True)
+
+
+def test_substitution_table_is_whole(spark):
+    rows = detectors.word_rows()
+    assert (len(rows), len({r["word"] for r in rows})) == (216, 216)
+    assert sum(" " in r["word"] for r in rows) == 44 and sum(r["source"] == "house" for r in rows) == 9
+    # words that table had not: low confidence, an object inside of a phrasal verb, a house phrase
+    _, _, f = finished(spark, "Furthermore, numerous seals actually affect it. Switch it off. Tools like this leak. It should be noted that lamps burn.")
+    assert [(r.rule, r.conf, r.source, r.quote) for r in f.orderBy("seg_no", "start").collect()] == [("1.1", "high", "ste", "Furthermore"), ("1.1", "high", "ste", "numerous"), ("1.1", "high", "ste", "actually"), ("1.1", "high", "ste", "affect"), ("9.3", "high", "ste", "Switch it off"), ("1.1", "low", "ste", "like"), ("HS", "high", "house", "It should be noted that"), ("1.1", "high", "ste", "should")]
