@@ -2,15 +2,17 @@
 
 A cascade of transducers reads each clause. The lexical transducer turns words into classes (INSULT, THREAT, TARGET,
 NEGATION, REPORT, other); insult terminals (whole words and word beginnings) and their weights are learned from the
-labels, the function words are fixed. Then each following transducer relabels what the one before it wrote:
+labels, the function words are fixed; a threat word weighs as much as the learned words do on average. Then each
+following transducer relabels what the one before it wrote:
 
-* ``Target``: an insult or threat within four words of a target becomes TARGETED;
+* ``Target``: an insult within four words of a target becomes TARGETED; a threat is a match only there, and stays THREAT;
 * ``Negation``: one within three words after a negation becomes NEGATED;
 * ``Report``: one after a verb of reporting, up to the clause's end, or inside double quotes becomes REPORTED.
 
 The final acceptor adds each match's weight to its label's sum. A document's features are these sums over its matched
-clauses and its best clause; a logistic layer fitted on the same labels turns them into a score. A document without a
-match gets the score of the bias alone. Null and empty texts are such documents.
+clauses and its best clause; a logistic layer fitted on the same labels turns them into a score. Its weight of THREAT is
+drawn to that of TARGETED, and is the same where the labelled rows hold no threat. A document without a match gets the
+score of the bias alone. Null and empty texts are such documents.
 
 Learning reads at most ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0 (the smallest crc32s of that id with
 a salt): a documented bound. Scoring reads all rows and whole texts.
@@ -58,6 +60,8 @@ class Grammar:
 
     def __post_init__(self) -> None:
         self.function = {w: c for c, ws in (("THREAT", THREAT), ("TARGET", TARGET), ("NEGATION", NEGATION), ("REPORT", REPORT)) for w in ws}
+        known = list((self.words or self.stems).values())
+        self.threat = sum(known) / len(known) if known else 1.0
         self.cache: dict[str, tuple[str, float]] = {}
 
     def lexical(self, word: str) -> tuple[str, float]:
@@ -67,16 +71,22 @@ class Grammar:
             if len(self.cache) >= 300_000:
                 self.cache.clear()
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
-            got = ("INSULT", weight) if weight > 0 else (self.function.get(word, ""), 1.0)
+            kind = self.function.get(word, "")
+            got = ("INSULT", weight) if weight > 0 else (kind, self.threat if kind == "THREAT" else 1.0)
             self.cache[word] = got
         return got
 
     def hits(self, words: list[str]) -> bool:
+        """Whether some clause may match: an insult, or a threat and a target."""
         lexical, cache = self.lexical, self.cache
+        threat = near = False
         for w in set(words):
-            if (cache.get(w) or lexical(w))[0] == "INSULT":
+            kind = (cache.get(w) or lexical(w))[0]
+            if kind == "INSULT":
                 return True
-        return False
+            threat |= kind == "THREAT"
+            near |= kind == "TARGET"
+        return threat and near
 
     def features(self, text: str) -> list[float] | None:
         """Sums by label over the matched clauses; None without a match."""
@@ -84,17 +94,21 @@ class Grammar:
         words = _WORD.findall(text)
         if not self.hits(words):
             return None
-        sums = dict.fromkeys(LABELS, 0.0)
+        sums, matched = dict.fromkeys(LABELS, 0.0), False
         for clause in _CLAUSE.split(text):
             tape = [self.lexical(w) if w != '"' else ("QUOTE", 0.0) for w in _WORD.findall(clause)]
-            if all(c != "INSULT" for c, _ in tape):
+            kinds = {c for c, _ in tape}
+            if "INSULT" not in kinds and not {"THREAT", "TARGET"} <= kinds:
                 continue
             total = 0.0
             for label, weight in report(negation(target(tape))):
                 if label in sums:
+                    matched = True
                     sums[label] += weight
                     total += weight if label != "NEGATED" else 0.5 * weight
             sums["BEST"] = max(sums["BEST"], total)
+        if not matched:
+            return None
         sums["ANY"] = 1.0
         return [math.log1p(sums[k]) for k in LABELS]
 
@@ -180,15 +194,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, list[float]]:
-    """Weights of at least 0 by projected Newton steps on a ridge-penalised logistic loss."""
+    """Weights of at least 0 by projected Newton steps on a ridge-penalised logistic loss; THREAT is drawn to TARGETED, not to 0."""
+    penalty = ridge * np.diag(np.r_[0.0, np.ones(x.shape[1])])
+    t, g = 1 + LABELS.index("THREAT"), 1 + LABELS.index("TARGETED")
+    penalty[g, g] += ridge
+    penalty[t, g] = penalty[g, t] = -ridge
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])
     w[0] = math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) / len(y) + ridge * np.r_[0, w[1:]]
-        h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag(np.r_[1e-6, np.full(len(w) - 1, ridge)])
-        w = w - np.linalg.solve(h, g)
+        slope = a.T @ (p - y) / len(y) + penalty @ w
+        h = (a * (p * (1 - p))[:, None]).T @ a / len(y) + penalty + np.diag(np.r_[1e-6, np.zeros(len(w) - 1)])
+        w = w - np.linalg.solve(h, slope)
         w[1:] = np.maximum(0, w[1:])
     return float(w[0]), w[1:].tolist()
 

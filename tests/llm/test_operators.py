@@ -114,6 +114,18 @@ def test_grammar_contexts():
     assert near > plain > denied and plain > told and g.score("Clean text.") < 0.05 and g.score("The snorfel man.") > 0.4
 
 
+def test_threats_decide_alone():
+    """A threat at a target without any insult is a match, in fitting and in scoring; without a target it is none."""
+    g = toxicity.Grammar({"blarg": 5.0}, {})
+    assert g.features("The men will hurt the old lever.") is None and g.features("You see. They left. Hurt a lever.") is None
+    texts = ["You are a blarg."] * 30 + ["A blarg."] * 10 + ["Clean text for you."] * 160
+    for more, y in (([], []), (["I will hurt you."] * 10, [1] * 10)):
+        x = np.array([g.features(t) or [0.0] * len(toxicity.LABELS) for t in texts + more])
+        g.bias, g.weights = toxicity.logistic(x, np.array([1] * 40 + [0] * 160 + y, dtype=float))
+        near, far, denied = (g.score(t) for t in ("They will kill him.", "Kill a process.", "It will not hurt you."))
+        assert near >= toxicity.THRESHOLD > denied and far == g.score("Clean text.") < 0.1
+
+
 def test_rules_compile_to_the_same_scores(spark):
     r = np.random.default_rng(0)
     x = r.random((400, len(quality.NAMES)))
