@@ -15,7 +15,8 @@ components are verified too, unless their distances to the first hub differ by m
 is a metric), which rules a link out. So every candidate pair is in one class, verified, or ruled out, and no bucket of copies is expanded into pairs.
 
 Defined cases: null texts are empty; texts without words are near-duplicates of equal texts only; a null id counts as the
-smallest one; rows that repeat an id are one document that has the links of all its texts; no rows give no rows.
+smallest one; each row is judged by its own text, also where ids are null or repeat: an id with several texts may be in
+several classes, and classes of unlike texts may have the same smallest id; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -143,7 +144,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     for batch in slices(batches, 1024):
-        yield [batch.column(0), batch.column(1), batch.column(2), bands_of(batch.column(3).to_pylist())]
+        yield [*batch.columns[:4], bands_of(batch.column(4).to_pylist())]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -236,31 +237,40 @@ def _linked(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) of each row; class_id is the smallest id of the class."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``_id`` (null: the smallest one), two hashes of the text and one of all other columns, and ``_text``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), text.alias("text"))
-    hashed = base.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    other = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")
+    return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2"), other.alias("_h3"), text.alias("_text"))
+
+
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h1, h2), and each text (h1, h2) with the ``first`` row (doc_id, h1, h2, h3) of its class."""
+    hashed = _keyed(docs).select(F.col("_id").alias("doc_id"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"), F.col("_h3").alias("h3"), F.col("_text").alias("text"))
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("h3", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _banded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    signed = stored(hashed.mapInArrow(band, "doc_id long, h1 long, h2 long, bands array<long>"), "signatures")
-    # equal texts are one node, named by its smallest id
+    signed = stored(hashed.mapInArrow(band, "doc_id long, h1 long, h2 long, h3 long, bands array<long>"), "signatures")
+    # equal texts are one node, with a number of its own: ids may be null or repeat
     reps = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = stored(signed.join(reps, ["h1", "h2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    rows = members.select(F.explode("bands").alias("key"), F.col("rep").alias("doc")).distinct()
+    thirds = signed.join(reps.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "doc_id"]).groupBy("h1", "h2", "doc_id").agg(F.min("h3").alias("h3"))
+    nodes = stored(thirds.select("h1", "h2", "doc_id", "h3", F.monotonically_increasing_id().alias("node")), "nodes")
+    members = signed.join(nodes.select("h1", "h2", "doc_id", "node"), ["h1", "h2", "doc_id"]).select("node", "bands")
+    rows = members.select(F.explode("bands").alias("key"), F.col("node").alias("doc")).distinct()
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = stored(rows.join(sizes, "key"), "shared")
     # the hub of a bucket is the member that shares most bands with others: the text that copies were made of, as a rule
     known = shared.groupBy("doc").agg(F.sum("size").alias("rank"))
     buckets = stored(shared.join(known, "doc").select("key", "doc", "rank"), "buckets")
-    nodes = buckets.select(F.col("doc").alias("doc_id")).distinct()
+    wanted = nodes.join(buckets.select(F.col("doc").alias("node")).distinct(), "node").select("h1", "h2", "doc_id", "node")
     # merge joins of texts at every size, so that the plan for large inputs is the plan for small ones
-    texts = stored(base.join(nodes.hint("merge"), "doc_id", "left_semi"), "texts")
+    texts = hashed.join(wanted.hint("merge"), ["h1", "h2", "doc_id"]).select(F.col("node").alias("doc_id"), "text")
+    texts = stored(texts.dropDuplicates(["doc_id"]), "texts")
     hubs = buckets.groupBy("key").agg(F.max(F.struct("rank", (-F.col("doc")).alias("back"), "doc")).alias("h")).select("key", F.col("h.doc").alias("hub"))
     placed = stored(buckets.join(hubs, "key"), "placed")
     checked = stored(verify(_pairs(placed.filter("doc <> hub"), "hub", "doc"), texts), "checked")
@@ -292,9 +302,20 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     more = stored(more.distinct(), "more")
     if more.limit(1).count():
         found = components(checked.filter(F.col("j") >= threshold).select("a", "b").union(more))
-    named = members.join(found.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+    # the first row of a class is its smallest by id, then hashes; a node without links is a class
+    own = F.struct("doc_id", "h1", "h2", "h3")
+    linked = stored(nodes.join(found, "node"), "linked")
+    firsts = linked.groupBy("comp").agg(F.min(own).alias("first"))
+    of_node = linked.select("node", "comp").join(firsts, "comp").select("node", "first")
+    return signed.select("doc_id", "h1", "h2"), nodes.join(of_node, "node", "left").select("h1", "h2", F.coalesce("first", own).alias("first"))
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) of each row; class_id is the smallest id of the class."""
+    rows, of_text = _classed(docs, threshold)
+    named = rows.join(of_text, ["h1", "h2"]).select("doc_id", F.col("first.doc_id").alias("class_id"))
     null = F.lit(None).cast("long")
-    return named.select(F.when(F.col("doc_id") == _NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("class_id") == _NULL_ID, null).otherwise(F.col("class_id")).alias("class_id"))
+    return named.select(*(F.when(F.col(c) != _NULL_ID, F.col(c)).otherwise(null).alias(c) for c in ("doc_id", "class_id")))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,6 +323,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The documents, with all their columns, that stand for their class: the one with the smallest id, once."""
-    kept = classes(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The documents, with all their columns, that stand for their class: the first row by id, hash of the text and hash of the other columns, once."""
+    key = ["_id", "_h1", "_h2", "_h3"]
+    _, of_text = _classed(docs, threshold)
+    kept = of_text.select(*(F.col(f"first.{c}").alias(k) for c, k in zip(("doc_id", "h1", "h2", "h3"), key, strict=True))).distinct()
+    return _keyed(docs).drop("_text").join(kept, key, "left_semi").dropDuplicates(key).select(*(F.col(f"`{c}`") for c in docs.columns))

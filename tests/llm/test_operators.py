@@ -253,6 +253,18 @@ def test_op6(spark, odd, empty):
     assert bagminhash.classes(empty).count() == 0
 
 
+def test_op6_null_and_repeated_ids(spark):
+    """Rows are judged by their texts: unlike texts stay where ids are null or repeat, and a copy goes with its own class only."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a, "1"), (None, b, "1"), (None, b, "1"), (None, b, "2"), (3, b + " tail", "1"), (3, c, "1"), (7, c + " tail", "1"), (7, d, "1"), (8, d, "1"), (9, e, "1"), (9, e, "1")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        kept = [(r.doc_id, r.text) for r in bagminhash.keep_one(docs).collect()]
+        assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (7, d), (9, e)], key=str)
+    got = sorted((r.doc_id or -1, r.class_id or -1) for r in bagminhash.classes(docs).collect())
+    assert got == [(-1, -1)] * 4 + [(3, -1), (3, 3), (7, 3), (7, 7), (8, 7), (9, 9), (9, 9)]
+
+
 def test_op6_chains(spark):
     """Links through texts that are no neighbours of the bucket's smallest one."""
     base = [f"b{i}" for i in range(300)]
