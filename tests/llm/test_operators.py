@@ -109,23 +109,96 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
 
 
 def test_grammar_contexts():
-    g = toxicity.Grammar({"blarg": 4.0}, {"snor": 3.0}, -3.0, [1.0, 2.0, 0.1, 0.2, 0.5, 1.0, 0.0])
+    w = [1.0, 2.0, 0.1, 0.2, 0.5] + [0.0] * 5 + [1.0, 0.0]
+    g = toxicity.Grammar({"blarg": 4.0}, {"snor": 3.0}, -3.0, w)
     plain, near, denied, told = (g.score(t) for t in ("Such blarg work.", "You are a blarg.", "It is not blarg work.", "Somebody said blarg."))
     assert near > plain > denied and plain > told and g.score("Clean text.") < 0.05 and g.score("The snorfel man.") > 0.4
 
 
+def labels_by_force(clauses):
+    """Plain Python beside the composed transducers: each match's label, found by looking around it."""
+    kinds = {"blarg": "I", "kill": "H", "you": "T", "not": "N", "said": "R"}
+    out, quoted = [], False
+    for clause in clauses:
+        words = [x for x in clause if x != '"']
+        at = 0
+        open_at = []
+        for x in clause:
+            if x == '"':
+                quoted = not quoted
+            else:
+                open_at.append(quoted)
+        for at, x in enumerate(words):
+            k = kinds.get(x)
+            if k not in ("I", "H"):
+                continue
+            near = any(kinds.get(y) == "T" for y in words[max(0, at - 4) : at + 5])
+            if k == "H" and not near:
+                continue
+            label = "THREAT" if k == "H" else "TARGETED" if near else "PLAIN"
+            if any(kinds.get(y) == "N" for y in words[max(0, at - 3) : at]):
+                label = "NEGATED"
+            elif open_at[at] or any(kinds.get(y) == "R" for y in words[:at]):
+                label = "REPORTED"
+            out.append(label)
+    return out
+
+
+def test_composed_transducers_against_brute_force():
+    g = toxicity.Grammar({"blarg": 1.0}, {})
+    words = ["blarg", "kill", "you", "not", "said", "x", '"']
+    for clause in itertools.product(words, repeat=4):
+        assert [m[1] for m in g.matches(list(clause))] == labels_by_force([clause]), clause
+    random.seed(13)
+    for _ in range(2000):
+        clauses = [[random.choice([*words, "x", "x"]) for _ in range(random.randint(0, 12))] for _ in range(random.randint(1, 4))]
+        tokens = [t for i, c in enumerate(clauses) for t in ([";"] if i else []) + c]
+        assert [m[1] for m in g.matches(tokens)] == labels_by_force(clauses), tokens
+
+
 def test_threats_decide_alone():
     """A threat at a target without any insult is a match, in fitting and in scoring; without a target it is none."""
     g = toxicity.Grammar({"blarg": 5.0}, {})
     assert g.features("The men will hurt the old lever.") is None and g.features("You see. They left. Hurt a lever.") is None
     texts = ["You are a blarg."] * 30 + ["A blarg."] * 10 + ["Clean text for you."] * 160
     for more, y in (([], []), (["I will hurt you."] * 10, [1] * 10)):
-        x = np.array([g.features(t) or [0.0] * len(toxicity.LABELS) for t in texts + more])
+        x = np.array([g.features(t) or [0.0] * len(toxicity.FEATURES) for t in texts + more])
         g.bias, g.weights = toxicity.logistic(x, np.array([1] * 40 + [0] * 160 + y, dtype=float))
         near, far, denied = (g.score(t) for t in ("They will kill him.", "Kill a process.", "It will not hurt you."))
         assert near >= toxicity.THRESHOLD > denied and far == g.score("Clean text.") < 0.1
 
 
+def test_logistic_on_separable_rows():
+    """Rows that a plane divides don't drive the weights away."""
+    x = np.zeros((4000, len(toxicity.FEATURES)))
+    x[:1500] = np.random.default_rng(3).uniform(2, 4, (1500, len(toxicity.FEATURES)))
+    bias, weights = toxicity.logistic(x, np.r_[np.ones(1500), np.zeros(2500)])
+    p = 1 / (1 + np.exp(-(x @ np.array(weights) + bias)))
+    assert abs(bias) < 50 and p[:1500].min() > 0.9 and p[1500:].max() < 0.1
+
+
+def test_terminals_by_rate():
+    """A beginning that clean texts hold by chance is learned where toxic ones hold it many times as often."""
+    counts = {"ab": (60, 300, 700), "abc": (60, 290, 40), "abcd": (30, 100, 14), "xyz": (50, 200, 0), "xyzw": (50, 198, 0), "xyzw$": (50, 197, 0)}
+    got = toxicity.choose(counts, 0.1)
+    assert set(got) == {"abc", "xyzw$"} and got["xyzw$"] > got["abc"] > 3
+
+
+@pytest.mark.parametrize("where,recall", [("sf0.001", 0.5), ("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_held_out_toxic_documents(spark, where, recall):
+    where = f"/root/testdata/{where}"
+    rows = toxicity.op10_toxicity(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").filter("held_out").collect()
+    caught = sum(r.predicted for r in rows if r.toxic)
+    assert caught >= recall * sum(r.toxic for r in rows) and sum(r.predicted for r in rows if not r.toxic) <= max(1, 0.02 * len(rows))
+
+
+def test_learning_is_bounded_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.sampled_texts(docs, toxicity.sample_of(labels, "toxic", 10)).count() == 2
+    assert quality.score(docs, quality.learn(docs, labels)).count() == 301
+
+
 def test_rules_compile_to_the_same_scores(spark):
     r = np.random.default_rng(0)
     x = r.random((400, len(quality.NAMES)))
