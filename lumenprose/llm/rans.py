@@ -99,13 +99,30 @@ def _decode_units(states: np.ndarray, place: np.ndarray, words: np.ndarray, step
     return out
 
 
+#: Ids below this are counted in an array, without sorting.
+_DENSE = 1 << 20
+
+
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in ascending order, each id's index there, and counts."""
+    if not len(ids):
+        return ids, ids, ids
+    if int(ids.max()) >= _DENSE:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    index = np.zeros(len(counts), dtype=np.uint32)
+    index[values] = np.arange(len(values), dtype=np.uint32)
+    return values, index[ids], counts[values]
+
+
 def encode_segment(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """One segment of whole documents. Empty documents and an empty list are allowed."""
     ids = np.concatenate([np.asarray(d, dtype=np.uint32) for d in docs]) if docs else np.empty(0, dtype=np.uint32)
     known = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     null = np.array([d is None for d in doc_ids], dtype="u1")
     lengths = np.array([len(d) for d in docs], dtype="<u4")
-    values, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True) if len(ids) else (ids, ids, ids)
+    values, symbols, counts = _counted(ids)
     bits = 18
     while len(values) > (1 << bits) // 4:
         bits += 1

@@ -43,10 +43,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
             return row
 
         for batch in text_slices(batches, 1):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            known = tokenizer(vocabulary)
+            end = known.dtype.type(end_id).tobytes()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode_bytes(batch.column(1).to_pylist()), strict=True):
                 names.append(doc_id)
-                docs.append(np.append(ids, ids.dtype.type(end_id)))
-                size += len(ids) + 1
+                docs.append(np.frombuffer(ids + end, dtype=known.dtype))
+                size += len(docs[-1])
                 if size >= segment_tokens:
                     yield close()
         if names:
