@@ -6,12 +6,17 @@ paragraph's hash is taken of its leaves' hashes, a section's of up to ``SECTION`
 sections' hashes and the text (sha2-256). The fingerprint is written as ``root:sections/paragraphs/leaves``: the root in full, the other levels shortened,
 so that equal texts have equal fingerprints, roots test equality, and going down only where branches differ locates edits.
 
-Only Spark SQL functions are used. Null texts are empty; an empty text has a root and one empty branch. Rows that repeat an
-id are ordered by their text when neighbours are sought; null ids come first.
+Only Spark SQL functions are used.
+
+Defined cases: null texts are empty; an empty text has a root and one empty branch; very long texts are read whole, each row by
+itself; rows that repeat an id are ordered by their text when neighbours are sought, null ids come first; a single row is its
+own neighbour; equal texts (ties) have equal fingerprints; no rows give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +72,29 @@ def likeness_of(x: Column, y: Column, same: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Indexes (from 0) of the paragraphs of ``a`` whose branch is not in ``b``: where an edit lies."""
+    """Indexes (from 0) of the paragraphs of ``a`` whose branch is not in ``b``: where an edit lies.
+
+    Where the roots agree nothing else is read; only sections that ``b`` doesn't have are entered.
+    """
+
+    def sections(p: Column) -> Column:
+        return F.split(F.substring_index(p, ":", -1), "/")
 
     def paragraphs(p: Column) -> Column:
         return F.regexp_extract_all(p, F.lit(r"([0-9a-f]{12})="), F.lit(1))
 
-    x, y = paragraphs(a), paragraphs(b)
-    found = F.filter(F.transform(x, lambda v, i: F.when(F.array_contains(y, v), F.lit(None)).otherwise(i)), lambda v: v.isNotNull())
+    known = F.transform(sections(b), lambda s: F.substring(s, 1, BRANCH))
+    other = F.filter(F.transform(sections(a), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: ~F.array_contains(known, F.substring(x["s"], 1, BRANCH)))
+    y = paragraphs(b)
+    found = F.flatten(F.transform(other, lambda x: F.filter(F.transform(paragraphs(x["s"]), lambda v, j: F.when(~F.array_contains(y, v), x["i"] * SECTION + j)), lambda v: v.isNotNull())))
     return F.when(F.substring(a, 1, 64) == F.substring(b, 1, 64), F.array().cast("array<int>")).otherwise(found)
 
 
+def _literal(values: list[int | None]) -> Column:
+    """An array of longs that the planner folds into one literal, however many values there are."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, tree, next, next_tree): also the next document by ascending id; after the last one, the first.
 
@@ -88,14 +106,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     got = known.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts).alias("b")).first()["b"]
     bounds = sorted(set(got or []))
-    at = F.coalesce(F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    at = F.size(F.filter(_literal(bounds), lambda b: b <= F.col("doc_id")))
     dealt = known.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int"))
-    firsts = {r["range"]: r["first"] for r in dealt.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect()}
+    firsts = {r["range"]: r["first"]["doc_id"] for r in dealt.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).collect()}
     order = sorted(firsts)
-    # where the first document of each range is also needed
-    also = F.lit(None).cast("int")
-    for k, r in enumerate(order):
-        also = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(firsts[r]["doc_id"]).cast("long")), F.lit(order[k - 1])).otherwise(also)
+    # where the first document of each range is also needed: at the end of the range before it
+    before = dict(zip(order, [order[-1], *order], strict=False)) if order else {}
+    first_of = F.get(_literal([firsts.get(r) for r in range(len(bounds) + 1)]), F.col("range"))
+    also = F.when(F.col("doc_id").eqNullSafe(first_of), F.get(_literal([before.get(r) for r in range(len(bounds) + 1)]), F.col("range")).cast("int"))
     places = F.filter(F.array(F.struct(F.col("range").alias("at"), F.lit(0).alias("guest")), F.struct(also.alias("at"), F.lit(1).alias("guest"))), lambda x: x["at"].isNotNull())
     sent = dealt.select("doc_id", "text", tree(F.col("text")).alias("tree"), F.explode(places).alias("s")).select("doc_id", "text", "tree", "s.at", "s.guest")
     window = Window.partitionBy("at").orderBy("guest", F.asc_nulls_first("doc_id"), "text")

@@ -375,6 +375,77 @@ def test_op7(spark, odd, empty):
     assert two.select(merkle.edits(F.col("x"), F.col("y")).alias("e"), merkle.likeness(F.col("x"), F.col("y")).alias("l")).first() == ([1], 0.75)
 
 
+def murmur(data: bytes) -> int:
+    """Spark's 32-bit hash of a string, in plain Python: whole words, then each byte that is left as a word."""
+    h = 42
+    end = len(data) // 4 * 4
+    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, end, 4)] + [b - 256 if b > 127 else b for b in data[end:]]
+    for k in words:
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) & 0xFFFFFFFF
+        h ^= k * 0x1B873593 & 0xFFFFFFFF
+        h = (h << 13 | h >> 19) & 0xFFFFFFFF
+        h = (h * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= len(data)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * by & 0xFFFFFFFF
+    return h
+
+
+def tree_by_force(text):
+    """The leaves of each line: words one after another, four at most, up to a mark at a word's end."""
+    import regex
+
+    rx = regex.compile(merkle.LEAVES, regex.ASCII)
+    return [[murmur(m.group().strip(" ").encode()) for m in rx.finditer(line)] for line in text.split("\n")]
+
+
+def print_by_force(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    paragraphs = [".".join(f"{v:08x}" for v in leaves) for leaves in tree_by_force(text)]
+    paragraphs = [sha(p)[:12] + "=" + p for p in paragraphs]
+    groups = [paragraphs[i : i + merkle.SECTION] for i in range(0, len(paragraphs), merkle.SECTION)]
+    sections = [sha(",".join(p[:12] for p in g))[:12] + "(" + ",".join(g) + ")" for g in groups]
+    return sha(sha("/".join(s[:12] for s in sections)) + sha(text)) + ":" + "/".join(sections)
+
+
+def near_by_force(a, b):
+    if a == b:
+        return 1.0
+    x, y = ({v for p in tree_by_force(t) for v in p} for t in (a, b))
+    return 2.0 * len(x & y) / max(1, len(x) + len(y))
+
+
+def test_op7_tree_and_likeness_by_force(spark):
+    docs = texts_of(spark, SMALL)
+    got = {r.doc_id: r for r in merkle.op7_merkle(spark, SMALL).collect()}
+    for k, (doc_id, text) in enumerate(docs):
+        nxt, half = docs[(k + 1) % len(docs)][1], len(text) // 2
+        edited = text[: len(text) - half] + nxt[:half]
+        r = got[doc_id]
+        assert r.fingerprint == print_by_force(text) and r.edited_fingerprint == print_by_force(edited)
+        assert abs(r.near_edited - near_by_force(text, edited)) < 1e-12 and abs(r.near_next - near_by_force(text, nxt)) < 1e-12
+
+
+def test_op7_edits_by_levels(spark):
+    lines = [f"w{i} x{i}. y{i} z{i}" for i in range(70)]
+    other = list(lines)
+    other[3], other[40], other[69] = "new text", "more", "last."
+    rows = spark.createDataFrame([("\n".join(lines), "\n".join(other)), ("same", "same"), ("", "a")], "a string, b string")
+    rows = merkle.fingerprints(rows.withColumn("ta", merkle.tree(F.col("a"))).withColumn("tb", merkle.tree(F.col("b"))), x=("a", "ta"), y=("b", "tb"))
+    assert [r.e for r in rows.select(merkle.edits(F.col("y"), F.col("x")).alias("e")).collect()] == [[3, 40, 69], [], [0]]
+
+
+def test_op7_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3000")
+    try:
+        docs = spark.range(5000).selectExpr("id as doc_id", "concat('t', id) as text")
+        assert merkle.with_next(docs).filter("next <> concat('t', (doc_id + 1) % 5000)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # 8: packing
 
 
@@ -447,6 +518,21 @@ def test_op9_odd_vectors(spark):
     assert mtree.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_op9_huge_and_repeated(spark):
+    rows = [(100, [3e38, 3e38], 1), (1, [3e38, 3e38], 1), (2, [-3e38, 1.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 1.0], 1), (200, [1.0, 0.0], 1), (200, [0.0, 1.0], 1), (200, [0.0, 1.0], 1)]
+    v = mtree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>, vec_id2 int"))
+    got = {}
+    for q, rank, i, s in sorted(tuple(r) for r in mtree.top_k(v, v.filter("vec_id % 100 = 0")).collect()):
+        got.setdefault(q, []).append((rank, i, s))
+    top, low = (1 << 63) - 1, -(1 << 63)
+    exact = int(3e38 * 1024) * 1024
+    assert got[100] == [(1, 1, top), (2, 3, top), (3, 3, top), (4, 200, top), (5, 200, top), (6, 200, top), (7, 2, low)] and exact > top
+    assert [s for _, i, s in got[200] if i == 3] == [2 * 1024**2, 1024**2, 1024**2, 1024**2]
+    big = np.array([[2.0**30 + 1, 2.0**30], [2.0**30, 2.0**30 + 1], [2.0**30, 2.0**30]])
+    found = mtree.search(mtree.make_tree(big, np.arange(3)), big[0] + 1, 9)
+    assert found == sorted(((sum(int(a) * int(b) for a, b in zip(x, big[0] + 1, strict=True)), i) for i, x in enumerate(big)), key=lambda t: (-t[0], t[1]))
+
+
 def test_mtree_search_is_exact():
     r = np.random.default_rng(9)
     x = np.floor(r.normal(0, 500, (700, 12)))
