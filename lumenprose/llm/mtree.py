@@ -7,8 +7,14 @@ distance d(p, P) to the parent the bound q.P + |q| (d(p, P) + r) needs no new pr
 out without computing anything on them. Nodes are visited best bound first until no bound reaches the k-th score.
 
 The query set (ids divisible by 100) meets the shards in blocks of queries, never row by row; each shard's best k of a
-query are merged. Components are floor(1024 * x). Vectors that are null or hold null or non-finite components take no part;
-vectors of different lengths have no score with each other; rows that repeat the query's id are the query's own.
+query are merged. Components are floor(1024 * x).
+
+Defined cases: vectors that are null or hold null or non-finite components (also those whose 1024-fold is none) and rows
+without an id take no part; vectors of different lengths have no score with each other; rows that repeat the query's id are
+the query's own; other rows that repeat an id are candidates each by itself; where a query's id has several vectors each is
+searched and the scores are ranked together, equal rows once; ties go to the smaller id; empty tables give no rows; other
+columns are not read. Where products could leave the integers that a double holds (2^53), whole-number arithmetic is used;
+a score beyond the range of a long counts as that range's end.
 """
 
 from __future__ import annotations
@@ -69,10 +75,38 @@ def make_tree(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, Page]:
     return centre, build(x, ids, centre, np.random.default_rng(len(x)))
 
 
+#: Products below this are exact in doubles.
+EXACT = 2.0**52
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+def _reach(page: Page) -> float:
+    """The largest distance of a vector from the page's routing object, or more."""
+    far = page.to_parent + page.radii if page.children else page.to_parent
+    return float(far.max()) if len(far) else 0.0
+
+
+def _rows(page: Page) -> Iterator[tuple[np.ndarray, int]]:
+    if page.children:
+        for child in page.children:
+            yield from _rows(child)
+    else:
+        yield from zip(page.centres, page.ids.tolist(), strict=True)
+
+
+def _search_wide(root: Page, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """The same in whole-number arithmetic, for components so large that bounds in doubles mean nothing."""
+    whole = [int(v) for v in q]
+    scores = ((max(_LONG[0], min(_LONG[1], sum(a * int(b) for a, b in zip(whole, x, strict=True)))), -i) for x, i in _rows(root) if i != own)
+    return [(s, -i) for s, i in heapq.nlargest(k, scores)]
+
+
 def search(tree: tuple[np.ndarray, Page], q: np.ndarray, own: int, k: int = K) -> list[tuple[int, int]]:
     """The best k as (score, id): higher scores first, ties to smaller ids. Exact."""
     centre, root = tree
     norm = math.sqrt(float(q @ q))
+    if norm * (math.sqrt(float(centre @ centre)) + _reach(root)) >= EXACT:
+        return _search_wide(root, q, own, k)
     slack = 1e-9 * (1 + norm)  # bounds are rounded; scores are exact
     best: list[tuple[float, int]] = []  # (score, -id), the worst first
     heap: list[tuple[float, int, Page, float]] = [(-math.inf, 0, root, float(q @ centre))]
@@ -112,8 +146,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>, size): floor(1024 * x) of the vectors that take part."""
     x = F.transform(F.col("embedding"), lambda e: e.cast("double"))
-    good = F.forall(F.col("embedding"), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * 1024.0).cast("double")).alias("v"), F.size("embedding").alias("size"))
+    good = F.forall(F.col("embedding"), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double") * 1024.0) < float("inf")))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.when(F.abs(e * 1024.0) < EXACT, F.floor(e * 1024.0).cast("double")).otherwise(e * 1024.0)).alias("v"), F.size("embedding").alias("size"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -136,7 +170,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     forest = dealt.groupBy("shard", "size").applyInArrow(trees, "shard int, size int, tree binary")
-    unique = queries.groupBy("vec_id", "size").agg(F.min("v").alias("v"))
+    unique = queries.select("vec_id", "size", "v").distinct()
     asked = unique.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "size").applyInArrow(blocked, "size int, queries binary")
     # each block of queries meets each shard once
     met = asked.select("size", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(forest, ["shard", "size"]).select("queries", "tree")
@@ -162,6 +196,6 @@ def op9_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+  FROM (SELECT DISTINCT vec_id, e FROM v) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
