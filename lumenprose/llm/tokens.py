@@ -8,9 +8,9 @@ unusual white space or with a special token's string go to the library whole.
 
 from __future__ import annotations
 
-import bisect
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -52,49 +52,42 @@ class WordCachedTokenizer:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        known = self.words
+        known, marks = self.words, self.marks
         plain: list[str] = []
         tailed: list[str] = []
         other: list[str] = []
         for w in words:
             if w.isalpha():
                 plain.append(w)
-            elif w[-1:] in self.marks and w[:-1].isalpha():
+            elif w[-1:] in marks and w[:-1].isalpha():
                 tailed.append(w)
             else:
                 other.append(w)
         # a word with a mark behind it is the word and the mark; many such words are known without the mark
-        bases = {w[:-1] for w in tailed}.difference(known).difference(plain)
-        plain += bases
-        flat = [" " + w for w in plain]
-        ends = list(range(1, len(flat) + 1))
-        for w in other:
-            flat += self.pattern.findall(" " + w)
-            ends.append(len(flat))
-        for at in range(0, len(flat), _AT_ONCE):
-            self._learn_parts(flat, plain + other, ends, at, min(at + _AT_ONCE, len(flat)))
-        marks = self.marks
+        plain += {w[:-1] for w in tailed}.difference(known, plain)
+        for at in range(0, len(plain), _AT_ONCE):
+            part = plain[at : at + _AT_ONCE]
+            known.update(zip(part, self._parts([" " + w for w in part]), strict=True))  # each is one pre-token
+        cuts = [self.pattern.findall(" " + w) for w in other]
+        for at in range(0, len(cuts), _AT_ONCE):
+            some = cuts[at : at + _AT_ONCE]
+            parts = iter(self._parts([p for c in some for p in c]) if some else ())
+            known.update(zip(other[at : at + _AT_ONCE], [b"".join(islice(parts, len(c))) for c in some], strict=True))
         for w in tailed:
             known[w] = known[w[:-1]] + marks[w[-1]]
 
-    def _learn_parts(self, flat: list[str], words: list[str], ends: list[int], a: int, b: int) -> None:
-        """Ids of the pre-tokens a to b, added to the words that they belong to."""
-        e = self.single.encode_batch_fast([flat[a:b]], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.array(e.ids, dtype=self.dtype).tobytes()
+    def _parts(self, flat: list[str]) -> list[bytes]:
+        """Ids of each pre-token."""
+        e = self.single.encode_batch_fast([flat], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(e.ids, dtype=self.dtype)
         # ids of a byte-level vocabulary cover the bytes one after another, so their lengths show where a pre-token ends
-        covered = np.cumsum(self.lengths[np.frombuffer(ids, dtype=self.dtype)])
-        needed = np.cumsum(np.fromiter((len(p.encode()) for p in flat[a:b]), dtype=np.int64, count=b - a))
-        at = [0, *((np.searchsorted(covered, needed) + 1) * self.dtype.itemsize).tolist()]
-        known = self.words
-        first = bisect.bisect_right(ends, a)
-        begin = a
-        for k in range(first, len(words)):
-            end = min(ends[k], b)
-            got = ids[at[begin - a] : at[end - a]]
-            known[words[k]] = got if begin == (ends[k - 1] if k else 0) else known[words[k]] + got
-            begin = end
-            if ends[k] >= b:
-                break
+        covered = np.cumsum(self.lengths[ids])
+        raw = np.frombuffer("".join(flat).encode(), dtype=np.uint8)
+        first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # each character's first byte
+        needed = first[np.cumsum(np.fromiter(map(len, flat), dtype=np.int64, count=len(flat)))]
+        at = ((np.searchsorted(covered, needed) + 1) * self.dtype.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[x:y] for x, y in zip([0, *at], at, strict=False)]
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
