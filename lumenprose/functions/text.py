@@ -17,6 +17,8 @@ MARK, PART = "\u0001", "\u0002"
 TOKEN = r"(?U)\w[\w'.\-/]*\w|\w"
 #: Unicode classes, and only a line feed ends a line.
 FLAGS = "(?Ud)"
+#: Parts of a text in one chunk of ``matches``; an even number.
+CHUNK = 512
 SPAN = "array<struct<start:int,end:int,text:string,g:array<string>>>"
 CONDITION = r"(?Udi)^(?:if|when|before|after|while|unless|until|once|during|for|to|in case|as soon as)\b[^,]{0,120},\s*"
 
@@ -31,8 +33,11 @@ def either(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.") for w in sorted(set(words), key=lambda w: (-len(w), w)))
 
 
-def matches(text: Column, rx: str, groups: int = 0, shown: str = "$0") -> Column:
-    """Non-overlapping matches of ``rx``: array<struct<start, end, text, g>>; g holds the groups 1..groups (empty if unset)."""
+def matches(text: Column, rx: str, groups: int = 0, shown: str = "$0", sure: bool = False) -> Column:
+    """Non-overlapping matches of ``rx``: array<struct<start, end, text, g>>; g holds the groups 1..groups (empty if unset).
+
+    ``sure``: the text is known to match, so it isn't tested again.
+    """
     marked = F.regexp_replace(text, F.lit(rx), F.lit(MARK + shown + "".join(f"{PART}${k}" for k in range(1, groups + 1)) + MARK))
     parts = F.split(marked, MARK)
     empty = F.array().cast(SPAN)
@@ -43,12 +48,18 @@ def matches(text: Column, rx: str, groups: int = 0, shown: str = "$0") -> Column
         found = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"), F.get(fields, F.lit(0)).alias("text"), F.slice(fields, 2, groups).alias("g") if groups else F.array().cast("array<string>").alias("g"))
         return F.struct((acc["at"] + F.when(acc["odd"], size).otherwise(F.length(part))).alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rx), folded).otherwise(empty)
+    # matches are gathered by chunks, so that a text with very many of them isn't copied once for each
+    def chunk(acc: Column, first: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
+        return let(F.aggregate(F.slice(parts, first + 1, F.lit(CHUNK)), zero, step), lambda c: F.struct(c["at"].alias("at"), F.concat(acc["out"], c["out"]).alias("out")))
+
+    firsts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(CHUNK))
+    folded = F.aggregate(firsts, F.struct(F.lit(0).alias("at"), empty.alias("out")), chunk, lambda acc: acc["out"])
+    return folded if sure else F.when(text.rlike(rx), folded).otherwise(empty)
 
 
 def tokens(masked: Column) -> Column:
-    return matches(masked, TOKEN)
+    return matches(masked, TOKEN, sure=True)
 
 
 def token_at(toks: Column, i: Column | int) -> Column:
@@ -77,10 +88,13 @@ def first_token(masked: Column) -> Column:
     return F.when(rest.rlike(TOKEN), at + F.length(F.regexp_extract(rest, r"(?Us)^(.*?)(?:\w)", 1))).otherwise(F.lit(-1))
 
 
+#: The first two tokens of the main clause.
+_HEAD = r"(?Ud)^\s*(?:(?i:if|when|before|after|while|unless|until|once|during|for|to|in case|as soon as)\b[^,]{0,120},\s*)?+\W*(\w(?:[\w'.\-/]*\w)?)(?:\W*(\w(?:[\w'.\-/]*\w)?))?"
+
+
 def is_imperative(masked: Column) -> Column:
     """Whether the main clause starts with a command verb, or with "you" and a verb of duty."""
-    words = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(masked, r"(?U)^\s+|\s+$", ""), CONDITION, ""), F.lit(TOKEN), F.lit(0))
-    first, second = (F.lower(F.coalesce(F.get(words, F.lit(k)), F.lit(""))) for k in (0, 1))
+    first, second = (F.lower(F.regexp_extract(masked, _HEAD, k)) for k in (1, 2))
     return first.isin(L.VERBS) | ((first == "you") & second.isin("must", "should", "need", "have"))
 
 
@@ -138,7 +152,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 _SHORT = "|".join(w.replace(".", r"\.") for w in L.NO_SPLIT)
 #: A sentence's end. A full stop behind an abbreviation is none; the letters before it are ASCII letters and dots.
-_END = rf"(?Ud)(?<![.!?])(?:(?<!(?:^|[^A-Za-z.])\.{{0,3}}(?i:{_SHORT})\.{{0,2}})\.|[!?])[.!?]*[\"')\]]*(?=\s+[\"'(\[]*[A-Z0-9_])|:(?=[ \t]*\n)"
+_END = rf"(?Ud)(?:\.(?<!(?:^|[^A-Za-z.])\.{{0,3}}(?i:{_SHORT})\.{{0,2}}\.)|[!?])(?<![.!?][.!?])[.!?]*[\"')\]]*(?=\s+[\"'(\[]*[A-Z0-9_])|:(?=[ \t]*\n)"
 
 
 def sentences(masked: Column) -> Column:

@@ -50,7 +50,13 @@ def hits(segs: DataFrame, rx: str, kinds: list[str] | None = None, groups: int =
     rows = segs.filter(S().rlike(rx))
     if kinds:
         rows = rows.filter(F.col("kind").isin(kinds))
-    return rows.select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(X.matches(S(), rx, groups)).alias("m"))
+    return rows.select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(X.matches(S(), rx, groups, sure=True)).alias("m"))
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once: the planner puts no filter that uses them below them."""
+    added = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("settled")
+    return rows.select("*", added).select("*", *(F.col(f"settled.{k}") for k in columns)).drop("settled")
 
 
 def group(k: int) -> Column:
@@ -142,13 +148,27 @@ def make_sure(segs: DataFrame) -> DataFrame:
 
 @detector("1.14")
 def spelling(segs: DataFrame) -> DataFrame:
-    table = segs.sparkSession.createDataFrame(list(L.spellings().items()), "british string, american string")
-    rows = hits(segs, r"(?Ud)(?<![\w'\-])[A-Za-z]{4,}(?![\w'\-])").withColumn("british", F.lower(M()["text"]))
+    known = L.spellings()
+    # letters that a British spelling has, tested before words are taken apart; words are looked up before they become rows
+    some = S().rlike(I + rf"(?:{alternation(_parts(known))})")
+    words = F.filter(X.matches(S(), r"(?Ud)(?<![\w'\-])[A-Za-z]{4,}(?![\w'\-])"), lambda m: F.lower(m["text"]).isin(list(known)))
+    rows = segs.filter(some).select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(words).alias("m")).withColumn("british", F.lower(M()["text"]))
+    table = segs.sparkSession.createDataFrame(list(known.items()), "british string, american string")
     # the table has a fixed number of rows
     rows = rows.join(F.broadcast(table), "british")
     return found(rows, "1.14", fix=X.keep_case(M()["text"], F.col("american")))
 
 
+def _parts(known: dict[str, str]) -> list[str]:
+    """The four letters around the place where each pair of spellings parts."""
+    out = set()
+    for british, american in known.items():
+        at = next((i for i, (x, y) in enumerate(zip(british, american, strict=False)) if x != y), min(len(british), len(american)))
+        at = max(0, min(at - 1, len(british) - 4))
+        out.add(british[at : at + 4])
+    return sorted(out)
+
+
 @detector("1.3")
 def meanings(segs: DataFrame) -> DataFrame:
     about = hits(segs, I + rf"\babout(?=\s+(?:\d|(?:a\s+|an\s+)?(?:{alternation(L.NUMBER_WORDS)})\b))")
@@ -212,10 +232,11 @@ def substitutions(segs: DataFrame, more: list[str] | None = None) -> DataFrame:
 detector("1.1", "1.2", "1.3", "9.3", "HS")(substitutions)
 
 
-def words_at(segs: DataFrame, rx: str, kinds: list[str]) -> DataFrame:
-    """One row for each token of the segments that match ``rx``: the segment, all tokens ``toks``, the place ``i`` and the token ``m``."""
+def words_at(segs: DataFrame, rx: str, kinds: list[str], keep: Callable[[Column], Column]) -> DataFrame:
+    """One row for each token, of segments that match ``rx``, that passes ``keep`` (of its lower case): the segment, all tokens ``toks``, the place ``i`` and the token ``m``."""
     rows = segs.filter(F.col("kind").isin(kinds) & S().rlike(rx)).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S()).alias("toks"))
-    return rows.select("*", F.posexplode("toks").alias("i", "m"))
+    places = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("i"), t.alias("m"))), lambda x: keep(F.lower(x["m"]["text"])))
+    return rows.select("*", F.explode(places).alias("x")).select("*", "x.i", "x.m").drop("x")
 
 
 def nth(i: Column) -> Column:
@@ -224,7 +245,7 @@ def nth(i: Column) -> Column:
 
 @detector("3.5")
 def ing_forms(segs: DataFrame) -> DataFrame:
-    rows = words_at(segs, "(?i)ing", L.SENTENCES)
+    rows = words_at(segs, r"(?i)\wing", L.SENTENCES, X.is_ing)
     word, prev, after = F.lower(M()["text"]), F.when(F.col("i") > 0, nth(F.col("i") - 1)).otherwise(""), nth(F.col("i") + 1)
     gap = F.substring(S(), F.get("toks", F.col("i") - 1)["end"] + 1, M()["start"] - F.get("toks", F.col("i") - 1)["end"])
     comma = (F.col("i") > 0) & (F.trim(gap) == ",")
@@ -266,29 +287,40 @@ def phrasal(segs: DataFrame) -> DataFrame:
 
 @detector("2.1")
 def noun_clusters(segs: DataFrame) -> DataFrame:
-    rows = segs.filter(F.col("kind").isin(L.SENTENCES) & S().rlike(r"(?U)(?:[^\s,;:]+\s+){3}")).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S()).alias("toks"))
-    run = "array<struct<start:int,end:int,up:boolean>>"
-    none = F.array().cast(run)
-    zero = F.struct(none.alias("run"), F.array().cast(f"array<{run}>").alias("done"), F.lit(0).alias("end"), F.lit("").alias("prev"))
-
-    def step(s: Column, t: Column) -> Column:
-        w = F.lower(t["text"])
-        joined = (s["prev"] != "") & F.substring(S(), s["end"] + 1, t["start"] - s["end"]).rlike(r"(?U)^\s+$")
-        kept = F.when(joined, s["run"]).otherwise(none)
-        empty = F.size(kept) == 0
-        plain = ~(w.isin(L.FUNCTION_WORDS) | X.is_adverb(w) | X.is_placeholder(w) | w.rlike(r"\p{Nd}"))
-        verb_after = ~empty & (w.endswith("ed") & X.is_participle(w) | w.isin(L.VERB_S))
-        verb_first = empty & w.isin(L.VERB_S) & s["prev"].isin(L.CLUSTER_SUBJECTS)
-        command = empty & w.isin(L.VERBS) & (~joined | s["prev"].isin([*L.VERB_CONTEXT, "and", "then", "or"]))
-        content = plain & ~verb_after & ~verb_first & ~command
-        closed = F.size(s["run"]) > 0
-        ends = closed & (~joined | ~content)
-        done = F.when(ends, F.concat(s["done"], F.array(s["run"]))).otherwise(s["done"])
-        item = F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"), X.starts_upper(t["text"]).alias("up")))
-        return F.struct(F.when(content, F.concat(kept, item)).otherwise(none).alias("run"), done.alias("done"), t["end"].alias("end"), w.alias("prev"))
-
-    runs = F.aggregate("toks", zero, step, lambda s: F.concat(s["done"], F.array(s["run"])))
-    rows = rows.select("doc_id", "seg_no", F.explode(F.filter(runs, lambda r: F.size(r) >= 4)).alias("r"))
+    rows = segs.filter(F.col("kind").isin(L.SENTENCES) & S().rlike(r"(?U)(?:[^\s,;:]+\s+){3}")).select("doc_id", "seg_no", "masked")
+    rows = settled(rows, toks=X.tokens(S()))
+
+    def flags(t: Column, i: Column) -> Column:
+        """What the fold needs of a token and the one before it."""
+        before = F.get("toks", i - 1)
+        gap = F.substring(S(), before["end"] + 1, t["start"] - before["end"])
+        return X.let(F.struct(F.lower(t["text"]).alias("w"), F.when(i > 0, F.lower(before["text"])).otherwise("").alias("p")), lambda x: F.struct(
+            (~(x["w"].isin(L.FUNCTION_WORDS) | X.is_adverb(x["w"]) | X.is_placeholder(x["w"]) | x["w"].rlike(r"\p{Nd}"))).alias("plain"),
+            ((i > 0) & gap.rlike(r"(?U)^\s+$")).alias("joined"),
+            (x["w"].endswith("ed") & X.is_participle(x["w"]) | x["w"].isin(L.VERB_S)).alias("after"),
+            (x["w"].isin(L.VERB_S) & x["p"].isin(L.CLUSTER_SUBJECTS)).alias("first"),
+            x["w"].isin(L.VERBS).alias("verb"),
+            x["p"].isin([*L.VERB_CONTEXT, "and", "then", "or"]).alias("context"),
+        ))
+
+    rows = settled(rows, flags=F.transform("toks", flags))
+    # a run needs four tokens one after another that may belong: only such segments are folded
+    rows = rows.filter(F.array_join(F.transform("flags", lambda f: F.when(f["plain"], "1").otherwise("0")), "").contains("1111"))
+    run = "array<struct<last:int,n:int>>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(run).alias("done"))
+
+    def step(s: Column, f: Column) -> Column:
+        """``n``: length of the run that ends before place ``at``; ``done``: runs of four and more."""
+        kept = F.when(f["joined"], s["n"]).otherwise(0)
+        inside = f["plain"] & F.when(kept > 0, ~f["after"]).otherwise(~f["first"] & ~(f["verb"] & (~f["joined"] | f["context"])))
+        ends = (s["n"] >= 4) & ~(f["joined"] & inside)
+        done = F.when(ends, F.concat(s["done"], F.array(F.struct((s["at"] - 1).alias("last"), s["n"].alias("n"))))).otherwise(s["done"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(inside, kept + 1).otherwise(0).alias("n"), done.alias("done"))
+
+    runs = F.aggregate("flags", zero, step, lambda s: F.when(s["n"] >= 4, F.concat(s["done"], F.array(F.struct((s["at"] - 1).alias("last"), s["n"].alias("n"))))).otherwise(s["done"]))
+    rows = rows.select("doc_id", "seg_no", "toks", F.explode(runs).alias("run"))
+    item = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), X.starts_upper(t["text"]).alias("up"))
+    rows = settled(rows, r=F.transform(F.slice("toks", F.col("run.last") - F.col("run.n") + 2, F.col("run.n")), item))
     pairs = F.size(F.filter(F.sequence(F.lit(0), F.size("r") - 2), lambda k: F.get("r", k)["up"] & F.get("r", k + 1)["up"]))
     rows = rows.filter((F.size("r") - pairs >= 4) & F.exists("r", lambda x: ~x["up"]))
     return found(rows, "2.1", F.get("r", F.lit(0))["start"], F.element_at("r", -1)["end"], conf="low")
@@ -296,7 +328,7 @@ def noun_clusters(segs: DataFrame) -> DataFrame:
 
 @detector("5.2")
 def two_instructions(segs: DataFrame) -> DataFrame:
-    rows = words_at(segs, I + r"\b(?:and|then)\b", ["proc"])
+    rows = words_at(segs, I + r"\b(?:and|then)\b", ["proc"], lambda w: w.isin("and", "then"))
     word, prev = F.lower(M()["text"]), nth(F.col("i") - 1)
     rows = rows.filter((F.col("i") > 0) & word.isin("and", "then") & ~((word == "then") & (prev == "and"))).withColumn("prev", prev)
     rest = F.slice("toks", F.col("i") + 2, F.size("toks"))
@@ -353,15 +385,20 @@ def signal_word(segs: DataFrame) -> DataFrame:
 
 @detector("4.5")
 def articles(segs: DataFrame) -> DataFrame:
-    rows = segs.filter("kind = 'proc'").withColumn("toks", F.filter(X.tokens(S()), lambda t: t["start"] >= X.clause_start(S())))
+    # the clause starts with step prefixes and a verb, then one more word; the tokens of its beginning are enough
+    prefix = rf"(?:(?:{alternation(L.STEP_PREFIX)}|do\W+not)\W+)*"
+    verbs = alternation(L.VERBS)
+    start = X.clause_start(S())
+    rows = segs.filter((F.col("kind") == "proc") & F.substring(S(), start + 1, F.length(S())).rlike(I + rf"^\W*{prefix}(?:{verbs})(?![\w])"))
+    rows = settled(rows.select("doc_id", "seg_no", "masked"), toks=X.let(start, lambda c: F.filter(X.tokens(S()), lambda t: t["start"] >= c)))
 
     # how many leading tokens are step prefixes or "do not"
     words = F.transform("toks", lambda t: F.lower(t["text"]))
     text = F.array_join(words, " ")
     lead = F.regexp_extract(F.concat(text, F.lit(" ")), rf"^(?:(?:{alternation(L.STEP_PREFIX)}|do not) )*", 0)
-    rows = rows.withColumn("i", F.size(F.split(lead, " ")) - 1)
+    rows = settled(rows, i=F.size(F.split(lead, " ")) - 1)
     verb, noun, after = F.get("toks", F.col("i")), F.get("toks", F.col("i") + 1), F.coalesce(F.get("toks", F.col("i") + 2)["text"], F.lit(""))
-    rows = rows.withColumn("v", verb).withColumn("m", noun).withColumn("after", after).filter("m is not null").filter(F.lower(F.col("v.text")).isin(L.VERBS))
+    rows = settled(rows, v=verb, m=noun, after=after).filter("m is not null").filter(F.lower(F.col("v.text")).isin(L.VERBS))
     w, lw = M()["text"], F.lower(M()["text"])
     gap = F.substring(S(), F.col("v.end") + 1, M()["start"] - F.col("v.end"))
     bad = ~gap.rlike(r"(?U)^\s+$") | X.starts_upper(w) | lw.isin([*L.FUNCTION_WORDS, *L.BARE_OK, *L.VERBS]) | X.is_adverb(lw) | X.is_placeholder(w) | w.rlike(r"\p{Nd}") | X.is_ing(w) | lw.endswith("s") & ~lw.endswith("ss")

@@ -14,12 +14,14 @@ SIGNAL = r"(?Ud)^\s*(?:(WARNING|CAUTION|NOTE)\b\s*[:.\-–—]?|((?i:warning|cau
 def segments(docs: DataFrame, doc_type: str = "auto", structured: bool = True) -> DataFrame:
     """(doc_id, seg_no, block, idx, line, kind, text, masked, words) of documents (doc_id, text).
 
-    ``doc_type`` is auto, proc or desc; it sets the kind of ordinary sentences. Sentences are shuffled once,
-    by document, for line numbers and numbers within the document.
+    ``doc_type`` is auto, proc or desc; it sets the kind of ordinary sentences. Documents are shuffled once,
+    by their id, which also serves line numbers, numbers within the document and joins of findings by document.
     """
     if doc_type not in ("auto", "proc", "desc"):
         raise ValueError(f"doc_type must be auto, proc or desc, not {doc_type!r}")
-    rows = docs.select("doc_id", X.clean(F.col("text")).alias("t")).select("doc_id", F.explode(blocks(F.col("t"), structured)).alias("b")).select("doc_id", "b.block", F.col("b.kind").alias("shape"), F.col("b.signal").alias("given"), F.col("b.lines").alias("lines"))
+    # documents are dealt before any work on texts; the windows below need no other exchange
+    dealt = docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    rows = dealt.select("doc_id", X.clean(F.col("text")).alias("t")).select("doc_id", F.explode(blocks(F.col("t"), structured)).alias("b")).select("doc_id", "b.block", F.col("b.kind").alias("shape"), F.col("b.signal").alias("given"), F.col("b.lines").alias("lines"))
     rows = rows.withColumn("joined", F.array_join(F.transform("lines", lambda x: x["content"]), "\n"))
     rows = rows.withColumn("masked", X.mask(F.col("joined")))
     head = F.regexp_extract("masked", SIGNAL, 0)
