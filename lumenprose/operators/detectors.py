@@ -232,10 +232,12 @@ def substitutions(segs: DataFrame, more: list[str] | None = None) -> DataFrame:
 detector("1.1", "1.2", "1.3", "9.3", "HS")(substitutions)
 
 
-def words_at(segs: DataFrame, rx: str, kinds: list[str], keep: Callable[[Column], Column]) -> DataFrame:
-    """One row for each token, of segments that match ``rx``, that passes ``keep`` (of its lower case): the segment, all tokens ``toks``, the place ``i`` and the token ``m``."""
+def words_at(segs: DataFrame, rx: str, kinds: list[str], keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row for each token, of segments that match ``rx``, that passes ``keep`` (of its lower case; all without it): the segment, all tokens ``toks``, the place ``i`` and the token ``m``."""
     rows = segs.filter(F.col("kind").isin(kinds) & S().rlike(rx)).select("doc_id", "seg_no", "kind", "idx", "masked", "text", X.tokens(S()).alias("toks"))
-    places = F.filter(F.transform("toks", lambda t, i: F.struct(i.alias("i"), t.alias("m"))), lambda x: keep(F.lower(x["m"]["text"])))
+    places = F.transform("toks", lambda t, i: F.struct(i.alias("i"), t.alias("m")))
+    if keep:
+        places = F.filter(places, lambda x: keep(F.lower(x["m"]["text"])))
     return rows.select("*", F.explode(places).alias("x")).select("*", "x.i", "x.m").drop("x")
 
 
