@@ -178,7 +178,7 @@ class Grammar:
         """The class of a word, as a number, and its weight."""
         got = self.cache.get(word)
         if got is None:
-            if len(self.cache) >= 300_000:
+            if len(self.cache) >= 100_000:
                 self.cache.clear()
             weight = self.words.get(word, 0.0)
             if not weight:
@@ -261,7 +261,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     """(y, text) -> (term, y, documents, occurrences) summed over a slice; a whole word's term ends with "$"."""
-    for batch in text_slices(batches, 1, rows=1024, size=16_000_000):
+    for batch in text_slices(batches, 1, rows=256, size=2_000_000):
         found: tuple[dict, dict] = ({}, {})
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             here: Counter[str] = Counter()
