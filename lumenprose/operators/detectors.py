@@ -63,7 +63,7 @@ def group(k: int) -> Column:
     return F.get(M()["g"], F.lit(k - 1))
 
 
-def found(rows: DataFrame, rule: str | Column, start: Column | None = None, end: Column | None = None, conf: str | Column = "high", fix: str | Column = "", tier: int | Column | None = None, source: str | Column = "ste") -> DataFrame:
+def found(rows: DataFrame, rule: str | Column, start: Column | None = None, end: Column | None = None, conf: str | Column = "high", fix: str | Column = "", tier: int | Column | None = None, source: str | Column = "rules") -> DataFrame:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     if tier is None and isinstance(rule, str):
         tier = L.TIER[rule] or 100
@@ -196,7 +196,7 @@ def word_rows(more: list[str] | None = None) -> list[dict]:
         rule, tier, ctx, conf = rest.split()
         if rule not in L.TIER or tier not in ("60", "80", "100") or ctx not in ("any", "v") or conf not in ("high", "low") or not word or not use:
             raise ValueError(f"bad substitution: {line!r}")
-        out.append({"word": word.lower(), "pos": pos, "use": use, "rule": rule, "tier": int(tier), "ctx": ctx, "conf": conf, "source": "house" if rule == "HS" else "ste"})
+        out.append({"word": word.lower(), "pos": pos, "use": use, "rule": rule, "tier": int(tier), "ctx": ctx, "conf": conf, "source": "house" if rule == "HS" else "rules"})
     return sorted(out, key=lambda r: (-len(r["word"].split()), -len(r["word"])))
 
 
@@ -209,7 +209,7 @@ def _phrases(row: dict) -> list[str]:
 def substitutions(segs: DataFrame, more: list[str] | None = None) -> DataFrame:
     """Words and phrases that are not approved. A match that is dropped below still uses up its text."""
     out = []
-    for source in ("ste", "house"):
+    for source in ("rules", "house"):
         rows = [r for r in word_rows(more) if r["source"] == source]
         if not rows:
             continue

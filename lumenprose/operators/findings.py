@@ -12,11 +12,14 @@ from ..functions import text as X
 
 def allow_pattern(terms: list[str]) -> str | None:
     """A pattern of the allowed terms, longer ones first, with the usual endings."""
-    kept = sorted({t.strip() for t in terms if t and t.strip()}, key=lambda t: (-len(t), t))
-    if not kept:
+    phrases = {" ".join(t.split()) for t in terms if t} - {""}
+    if not phrases:
         return None
-    body = "|".join(r"\s+".join(re.escape(w) for w in t.split()) for t in kept)
-    return rf"(?Udi)(?<![\w'\-])(?:{body})(?:s|es|d|ed|ing)?(?![\w'\-])"
+    # re.escape writes a blank as "\ "; in a text it may be any white space
+    longest_first = sorted(phrases, key=lambda p: (-len(p), p))
+    any_of = "|".join(re.escape(p) for p in longest_first).replace("\\ ", r"\s+")
+    inside_word = r"[\w'\-]"
+    return rf"(?Udi)(?<!{inside_word})(?:{any_of})(?:e?[sd]|ing)?(?!{inside_word})"
 
 
 def shield(findings: DataFrame, segs: DataFrame, allow: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as X
 from . import detectors
+from .dictionary import dictionary_findings
 from .findings import finish
 from .segments import segments
 
@@ -66,14 +67,20 @@ def added(items: DataFrame, segs: DataFrame, first: int = 1) -> DataFrame:
     tiers = items.sparkSession.createDataFrame([(r, t) for r, t in L.TIER.items() if t], "rule string, tier int")
     good = items.join(F.broadcast(tiers), "rule")
     numbered = good.withColumn("id", F.concat(F.lit("R"), F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) + F.lit(first - 1)))
-    return locate(numbered, segs).select("doc_id", "id", "rule", "tier", "seg_no", "start", "end", "quote", F.lit("added").alias("status"), F.lit("review").alias("source"), F.col("seg_no").isNotNull().alias("counted"))
+    return locate(numbered, segs).select("doc_id", "n", "id", "rule", "tier", "seg_no", "start", "end", "quote", F.lit("added").alias("status"), F.lit("review").alias("source"), F.col("seg_no").isNotNull().alias("counted"))
 
 
-def recheck(rewrites: DataFrame) -> DataFrame:
-    """(doc_id, n, left): what the checker still counts in each rewrite (doc_id, n, rewrite), as "rule: quote"."""
-    keyed = rewrites.withColumn("_key", F.row_number().over(Window.orderBy("doc_id", "n")).cast("long"))
+def recheck(rewrites: DataFrame, allow: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n, left): what the checker still counts in each rewrite (doc_id, n, rewrite), as "rule: quote".
+
+    Each rewrite is a document of its own, under a key of its document and number; ``words`` is a dictionary's lookup.
+    """
+    keyed = rewrites.withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n").cast("string")))
     segs = segments(keyed.select(F.col("_key").alias("doc_id"), F.col("rewrite").alias("text"))).persist()
-    found = finish(detectors.detect(segs), segs).filter("counted")
+    found = detectors.detect(segs)
+    if words is not None:
+        found = found.unionByName(dictionary_findings(segs, words, allow).select(*found.columns))
+    found = finish(found, segs, allow).filter("counted")
     left = found.groupBy(F.col("doc_id").alias("_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "start", "rule", "quote"))), lambda x: F.concat(x["rule"], F.lit(": "), x["quote"])), ", ").alias("left"))
     return keyed.join(left, "_key", "left").select("doc_id", "n", "rewrite", F.coalesce("left", F.lit("")).alias("left"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
-from ..operators import detectors, dictionary, findings, review, scoring, views
+from ..operators import checking, detectors, dictionary, findings, review, scoring, views
 from ..operators.segments import segments
 from .templates import cases
 
@@ -129,14 +129,16 @@ BY_WORD_SQL = f"SELECT 'colour' AS word, '1.14' AS rule, 'color' AS fix, count(*
 
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = segments(_scored_docs(spark, sf_dir))
-    return views.gauges(segs)
+    done = checking.check(_scored_docs(spark, sf_dir), names=[*CORE, "noun_clusters", "two_instructions"])
+    return views.gauges(done.segs, done.findings)
 
 
 GAUGES_SQL = f"""WITH s AS (SELECT *, CASE WHEN k IN (0, 4) THEN 'proc' ELSE 'desc' END AS kind,
     CASE k WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 7 ELSE 6 END AS words FROM {_SENTENCES} x)
 SELECT kind AS gauge, CASE kind WHEN 'proc' THEN 20 ELSE 25 END AS "limit", max(words)::BIGINT AS worst, 0::BIGINT AS over, count(*) AS n FROM s GROUP BY kind
-UNION ALL SELECT 'paragraph', 6, max(c), count(*) FILTER (c > 6), count(*) FROM (SELECT doc_id, count(*) AS c FROM s WHERE kind = 'desc' GROUP BY doc_id) p"""
+UNION ALL SELECT 'paragraph', 6, max(c), count(*) FILTER (c > 6), count(*) FROM (SELECT doc_id, count(*) AS c FROM s WHERE kind = 'desc' GROUP BY doc_id) p
+UNION ALL SELECT 'multi-word noun', 3, 3, 0, 1 FROM s HAVING count(*) > 0
+UNION ALL SELECT 'instructions', 1, 1, 0, count(*) FROM s WHERE kind = 'proc' HAVING count(*) > 0"""
 
 
 # ---- the corpus
@@ -209,14 +211,44 @@ def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEW_SQL = f"SELECT doc_id, count(*) - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS counted, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS rejected FROM {_SENTENCES} s WHERE tier > 0 GROUP BY doc_id"
 
 
+def review_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after a review: the first finding of documents with even keys is rejected, and each document with a finding
+    gets one that a reader adds at its first sentence."""
+    done = checking.check(_scored_docs(spark, sf_dir), names=CORE)
+    first = done.findings.filter("id = 'F1'")
+    decisions = first.filter("doc_id % 2 = 0").select("doc_id", "id", F.lit("rejected").alias("status"), F.lit("").alias("note"))
+    items = first.select("doc_id", F.lit(1).alias("n"), F.lit("2.1").alias("rule"), F.lit("1").alias("line"), F.lit("the label").alias("quote"), F.lit("").alias("fix"), F.lit("").alias("note"))
+    scores = checking.apply_review(done, decisions, items).scores
+    return scores.filter("doc_id is not null").select("doc_id", "segments", "violations", "score", "passed")
+
+
+_REVIEWED = f"(SELECT doc_id, k, CASE WHEN k = 1 AND doc_id % 2 = 0 THEN 0 WHEN k = 0 AND doc_id % 5 >= 1 THEN 60 ELSE tier END AS tier FROM {_SENTENCES} s)"
+RESCORE_SQL = f"SELECT doc_id, segments, violations, {_SCORE} AS score, {_SCORE} >= 80 AS passed FROM (SELECT doc_id, {_BANDS} FROM {_REVIEWED} s GROUP BY doc_id) b"
+
+
+def pooled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of segments and findings through all documents."""
+    segs, found = checking.pooled(checking.check(_scored_docs(spark, sf_dir), names=CORE))
+    return segs.select("doc_id", "seg_no", "pool_id").union(found.select("doc_id", "seg_no", "pool_id"))
+
+
+POOLED_SQL = f"""SELECT doc_id, (k + 1)::INTEGER AS seg_no, 'S' || row_number() OVER (ORDER BY doc_id, k) AS pool_id FROM {_SENTENCES} s
+UNION ALL SELECT doc_id, (k + 1)::INTEGER, 'F' || row_number() OVER (ORDER BY doc_id, k) FROM {_SENTENCES} s WHERE tier > 0"""
+
+
+def check_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by all detectors, and of all together."""
+    return checking.check(table(spark, sf_dir, "documents")).scores
+
+
 def enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(0, 101).select(F.col("id").alias("level"), scoring.enforced_tier(F.col("id")).alias("tier"))
 
 
 ENFORCED_SQL = "SELECT range AS level, CASE WHEN range <= 60 THEN 60 WHEN range <= 80 THEN 80 ELSE 100 END AS tier FROM range(0, 101)"
 
-_QUERIES = {"score_doc": score_doc, "score_rollup": score_rollup, "by_rule": by_rule, "by_word": by_word, "gauges": gauges, "gendered": gendered, "vocabulary": vocabulary, "seg_counts": seg_counts, "findings_all": findings_all, "dict_classify": dict_classify, "review_apply": review_apply, "enforced_tier": enforced}
-_SQL = {"score_doc": SCORE_SQL, "score_rollup": ROLLUP_SQL, "by_rule": BY_RULE_SQL, "by_word": BY_WORD_SQL, "gauges": GAUGES_SQL, "gendered": GENDERED_SQL, "vocabulary": VOCABULARY_SQL, "dict_classify": DICT_SQL, "review_apply": REVIEW_SQL, "enforced_tier": ENFORCED_SQL}
+_QUERIES = {"score_doc": score_doc, "score_rollup": score_rollup, "by_rule": by_rule, "by_word": by_word, "gauges": gauges, "gendered": gendered, "vocabulary": vocabulary, "seg_counts": seg_counts, "findings_all": findings_all, "dict_classify": dict_classify, "review_apply": review_apply, "review_rescore": review_rescore, "pooled_ids": pooled_ids, "check_documents": check_documents, "enforced_tier": enforced}
+_SQL = {"score_doc": SCORE_SQL, "score_rollup": ROLLUP_SQL, "by_rule": BY_RULE_SQL, "by_word": BY_WORD_SQL, "gauges": GAUGES_SQL, "gendered": GENDERED_SQL, "vocabulary": VOCABULARY_SQL, "dict_classify": DICT_SQL, "review_apply": REVIEW_SQL, "review_rescore": RESCORE_SQL, "pooled_ids": POOLED_SQL, "enforced_tier": ENFORCED_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

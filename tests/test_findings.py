@@ -58,7 +58,7 @@ def test_quotes_and_allowed_terms_shield(spark):
 
 
 def test_dropped_overlaps_do_not_extend(spark):
-    rows = [(1, 1, "x", 60, "high", "", 0, 5, "ste", 0), (1, 1, "x", 60, "high", "", 3, 9, "ste", 0), (1, 1, "x", 60, "high", "", 6, 8, "ste", 0)]
+    rows = [(1, 1, "x", 60, "high", "", 0, 5, "rules", 0), (1, 1, "x", 60, "high", "", 3, 9, "rules", 0), (1, 1, "x", 60, "high", "", 6, 8, "rules", 0)]
     f = spark.createDataFrame(rows, "doc_id long, seg_no int, rule string, tier int, conf string, fix string, start int, end int, source string, det int")
     assert sorted((r.start, r.end) for r in findings.suppress(f).collect()) == [(0, 5), (6, 8)]
 
@@ -116,4 +116,4 @@ def test_substitution_table_is_whole(spark):
     assert sum(" " in r["word"] for r in rows) == 44 and sum(r["source"] == "house" for r in rows) == 9
     # words that table had not: low confidence, an object inside of a phrasal verb, a house phrase
     _, _, f = finished(spark, "Furthermore, numerous seals actually affect it. Switch it off. Tools like this leak. It should be noted that lamps burn.")
-    assert [(r.rule, r.conf, r.source, r.quote) for r in f.orderBy("seg_no", "start").collect()] == [("1.1", "high", "ste", "Furthermore"), ("1.1", "high", "ste", "numerous"), ("1.1", "high", "ste", "actually"), ("1.1", "high", "ste", "affect"), ("9.3", "high", "ste", "Switch it off"), ("1.1", "low", "ste", "like"), ("HS", "high", "house", "It should be noted that"), ("1.1", "high", "ste", "should")]
+    assert [(r.rule, r.conf, r.source, r.quote) for r in f.orderBy("seg_no", "start").collect()] == [("1.1", "high", "rules", "Furthermore"), ("1.1", "high", "rules", "numerous"), ("1.1", "high", "rules", "actually"), ("1.1", "high", "rules", "affect"), ("9.3", "high", "rules", "Switch it off"), ("1.1", "low", "rules", "like"), ("HS", "high", "house", "It should be noted that"), ("1.1", "high", "rules", "should")]
