@@ -176,12 +176,12 @@ VOCABULARY_SQL = f"SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FR
 
 def seg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences and words of each document."""
-    return segments(table(spark, sf_dir, "documents"), structured=False).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"))
+    return segments(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"))
 
 
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of the corpus, by document and rule."""
-    segs = segments(table(spark, sf_dir, "documents"), structured=False).persist()
+    segs = segments(table(spark, sf_dir, "documents")).persist()
     return findings.finish(detectors.detect(segs), segs).groupBy("doc_id", "rule", "conf").agg(F.count("*").alias("n"))
 
 
