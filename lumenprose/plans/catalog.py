@@ -16,6 +16,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from ..operators import checking, detectors, dictionary, findings, review, scoring, views
 from ..operators.segments import segments
+from .corpus_rules import CORPUS_RULES_SQL, corpus_rules
 from .templates import cases
 
 CASES = cases()
@@ -247,8 +248,8 @@ def enforced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENFORCED_SQL = "SELECT range AS level, CASE WHEN range <= 60 THEN 60 WHEN range <= 80 THEN 80 ELSE 100 END AS tier FROM range(0, 101)"
 
-_QUERIES = {"score_doc": score_doc, "score_rollup": score_rollup, "by_rule": by_rule, "by_word": by_word, "gauges": gauges, "gendered": gendered, "vocabulary": vocabulary, "seg_counts": seg_counts, "findings_all": findings_all, "dict_classify": dict_classify, "review_apply": review_apply, "review_rescore": review_rescore, "pooled_ids": pooled_ids, "check_documents": check_documents, "enforced_tier": enforced}
-_SQL = {"score_doc": SCORE_SQL, "score_rollup": ROLLUP_SQL, "by_rule": BY_RULE_SQL, "by_word": BY_WORD_SQL, "gauges": GAUGES_SQL, "gendered": GENDERED_SQL, "vocabulary": VOCABULARY_SQL, "dict_classify": DICT_SQL, "review_apply": REVIEW_SQL, "review_rescore": RESCORE_SQL, "pooled_ids": POOLED_SQL, "enforced_tier": ENFORCED_SQL}
+_QUERIES = {"score_doc": score_doc, "score_rollup": score_rollup, "by_rule": by_rule, "by_word": by_word, "gauges": gauges, "gendered": gendered, "vocabulary": vocabulary, "corpus_rules": corpus_rules, "seg_counts": seg_counts, "findings_all": findings_all, "dict_classify": dict_classify, "review_apply": review_apply, "review_rescore": review_rescore, "pooled_ids": pooled_ids, "check_documents": check_documents, "enforced_tier": enforced}
+_SQL = {"score_doc": SCORE_SQL, "score_rollup": ROLLUP_SQL, "by_rule": BY_RULE_SQL, "by_word": BY_WORD_SQL, "gauges": GAUGES_SQL, "gendered": GENDERED_SQL, "vocabulary": VOCABULARY_SQL, "corpus_rules": CORPUS_RULES_SQL, "dict_classify": DICT_SQL, "review_apply": REVIEW_SQL, "review_rescore": RESCORE_SQL, "pooled_ids": POOLED_SQL, "enforced_tier": ENFORCED_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

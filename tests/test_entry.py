@@ -27,6 +27,20 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
 
 
+def test_corpus_rules_on_prose(spark, tmp_path):
+    """Prose with findings of each rule, accents, cases that aren't findings, null and empty texts."""
+    docs = [(1, "She's here; they don’t go. He has gone and it is turning."), (2, "We must have moved it. This is going to stop. Été: hé, her man."), (3, None), (4, ""), (5, "I had already seen this; this shows more. They are being good.")]
+    turns = [(1, 0, "You can't. We're reading him/her."), (1, 1, "It's not; was always failing. Theory, sheet, thistle is.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["corpus_rules"]).fetchall()
+    assert {r for _, r, _ in want} == {"8.1", "4.2", "3.2", "GR-7", "GR-4"}
+    assert sorted(map(tuple, entry.queries()["corpus_rules"](spark, str(tmp_path)).select("doc_id", "rule", "n").collect())) == sorted(want)
+
+
 def test_folder_source(spark, tmp_path):
     (tmp_path / "a.md").write_bytes(b"\xef\xbb\xbfOne\r\nTwo")
     (tmp_path / "b.txt").write_bytes("Zwölf".encode("utf-16"))
