@@ -22,12 +22,24 @@ from tokenizers.pre_tokenizers import ByteLevel
 #: worker keeps twice as many at most (some 280 MB).
 CACHE_ENTRIES = 700_000
 _ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    -⁠　﻿]")
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+#: A blank before white space; other white space than this is odd.
+_RUNS = ("  ", " \t", " \n", " \r")
 #: Pre-tokens for one call of the library.
 _AT_ONCE = 50_000
-_BLANK_RUN = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
 
+def odd_space(text: str) -> bool:
+    """Whether a text has unusual white space; searches for single characters are faster than a pattern."""
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text) is not None
+
+
+def blank_run(text: str) -> bool:
+    """Whether white space or the end follows a blank, in a text without unusual white space."""
+    return text.endswith(" ") or any(r in text for r in _RUNS)
+
+
 class WordCachedTokenizer:
     """``encode(texts)``: ids of each text as numpy arrays, equal to the library's ids of the whole text."""
 
@@ -95,10 +107,10 @@ class WordCachedTokenizer:
         cuts: list[tuple[int, bytes, list[str]]] = []
         used: set[str] = set()
         for i, text in enumerate(texts):
-            if _ODD_SPACE.search(text) or any(s in text for s in self.special):
+            if odd_space(text) or any(s in text for s in self.special):
                 out[i] = self._library(text)
                 continue
-            cut = _CUT.split(text) if _BLANK_RUN.search(text) else text.split(" ")
+            cut = _CUT.split(text) if blank_run(text) else text.split(" ")
             head = self._library(cut[0]) if cut[0] else b""  # the first piece has no blank before it
             del cut[0]
             cuts.append((i, head, cut))

@@ -564,3 +564,18 @@ def test_op6_large_buckets(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = classes_by_force(docs)
     assert got == want and 1 < len(set(want.values()))
+
+
+def test_tokens_white_space():
+    """The searches for unusual white space and runs of blanks against patterns; ids against the library."""
+    import re
+
+    from lumenprose.llm import tokens
+
+    spaces = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and re.match(r"\s", chr(i))]
+    texts = [*(f"a{x}{s}{y}b{z}" for s in spaces for x in ("", " ", "é") for y in ("", " ", "\n") for z in ("", " ", "\n", " \n")), "", " ", "\n", "ab", "é"]
+    usual = [t for t in texts if not re.search(r"[^\S \t\n\r]", t)]
+    assert all(tokens.odd_space(t) for t in texts if t not in usual) and not any(map(tokens.odd_space, usual))
+    assert all(tokens.blank_run(t) == bool(re.search(r" (?:\s|$)", t)) for t in usual)
+    tk = tokens.tokenizer()
+    assert [x.tolist() for x in tk.encode(texts)] == [tk.library.encode(t, add_special_tokens=False).ids for t in texts]
