@@ -11,7 +11,8 @@ source and doc_id are no inputs.
 Defined cases: null texts are empty; an empty text has statistics of 0 and gets a score like any other; each row is scored by
 its own whole text, however long, so repeated rows and ties have equal scores; no rows give no rows; other columns are
 neither read nor changed, whatever their names; labels that are null, or whose id is null, are not used, of an id that is
-labelled both ways the label 1 counts. Without labelled rows of both classes the score is the share of 1 (1 if there are none).
+labelled both ways the label 1 counts. Without labelled rows of both classes the score is the share of 1 (1 if there
+are none), and so it is where they are too few, or too alike, for a rule.
 """
 
 from __future__ import annotations
@@ -158,6 +159,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, pe
         if key not in distinct or len(r) < len(distinct[key]):
             distinct[key] = r
     rules = list(distinct.values())
+    if not rules:  # too few rows, or rows with equal statistics: no node was divided
+        return RuleModel([], [], math.log(p0 / (1 - p0)))
     a = np.stack([_holds(r, x) for r in rules], axis=1).astype(np.float32)
     scale = np.maximum(a.std(axis=0), 1e-3)
     mean = a.mean(axis=0)

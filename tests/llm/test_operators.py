@@ -199,6 +199,13 @@ def test_learning_is_bounded_with_repeated_ids(spark):
     assert quality.score(docs, quality.learn(docs, labels)).count() == 301
 
 
+def test_too_few_rows_for_a_rule():
+    """Two labelled rows, or equal ones, give the share of 1 as the score."""
+    for x, y in ((np.eye(2, len(quality.NAMES)), [0, 1]), (np.ones((100, len(quality.NAMES))), [0, 1, 1, 1] * 25)):
+        model = quality.fit(x, np.array(y, dtype=float))
+        assert model.rules == [] and np.allclose(model.predict(x), np.mean(y))
+
+
 def test_rules_compile_to_the_same_scores(spark):
     r = np.random.default_rng(0)
     x = r.random((400, len(quality.NAMES)))
