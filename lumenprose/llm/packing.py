@@ -70,7 +70,7 @@ class Packer:
         for start in range(0, n - n % w, w):
             self._lay([(doc_id, start, n, ids[start : start + w])])
         if n % w:
-            self._wait((doc_id, n - n % w, n, ids[n - n % w :]))
+            self._wait((doc_id, n - n % w, n, ids[n - n % w :].copy()))  # the rest of the document isn't kept
         if self.total > self.pool:
             self._pack(self.kept)
 
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = E
                 yield [doc, start, length, n, seq, offset, [x.astype("<u4").tobytes() for x in ids]]
 
         for batch in text_slices(batches, 1):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer(vocabulary).encode(batch.column(1)), strict=True):
                 packer.add(doc_id, np.append(ids, ids.dtype.type(end_id)))
             yield from rows()
         packer.finish()

@@ -44,10 +44,10 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
 
         for batch in text_slices(batches, 1):
             known = tokenizer(vocabulary)
-            end = known.dtype.type(end_id).tobytes()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode_bytes(batch.column(1).to_pylist()), strict=True):
+            end = known.dtype.type(end_id)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), known.encode(batch.column(1)), strict=True):
                 names.append(doc_id)
-                docs.append(np.frombuffer(ids + end, dtype=known.dtype))
+                docs.append(np.append(ids, end))
                 size += len(docs[-1])
                 if size >= segment_tokens:
                     yield close()

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import zlib
 
@@ -586,3 +587,49 @@ def test_tokens_white_space():
     assert all(tokens.blank_run(t) == bool(re.search(r" (?:\s|$)", t)) for t in usual)
     tk = tokens.tokenizer()
     assert [x.tolist() for x in tk.encode(texts)] == [tk.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+#: Ids of many new words, then how much memory of its own the process holds more than before, in MB.
+MEMORY = """
+import re
+from pathlib import Path
+from lumenprose.llm import tokens
+def own(): return int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1e3
+t = tokens.WordCachedTokenizer()
+t.encode(["a b"])
+before = own()
+for k in range(5):
+    for text, ids in zip(*(lambda x: (x, t.encode(x)))([" ".join(f"{w}{i:x}" for i in range(k * 300_000 + d * 3000, k * 300_000 + d * 3000 + 3000) for w in ("qua", "the")) for d in range(100)])):
+        assert t.lengths[ids].sum() == len(text)
+print(own() - before)
+"""
+
+
+def test_tokenizer_memory():
+    """A worker that waits keeps little memory, however many words it has seen."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", MEMORY], cwd=root, capture_output=True, text=True, timeout=300, check=True)
+    assert float(got.stdout) < 150
+
+
+def test_words_beyond_the_cache(monkeypatch):
+    """Words that the cache drops, pieces that no cache takes, and words that were first pieces get the library's ids again."""
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(tokens, "_AT_ONCE", 7)
+    t = tokens.WordCachedTokenizer()
+    random.seed(8)
+    for _ in range(30):
+        texts = [" ".join(f"{random.choice('aéß漢')}{random.randint(0, 30)}{random.choice(['', '.', '\n漢', '  ', ' \n', chr(0)])}" for _ in range(random.randint(0, 12))) for _ in range(8)]
+        texts += ["x" * 3000 + " " + "y" * 300, "a b\x0bc", "<|endoftext|> a1", *ODD]
+        assert [x.tolist() for x in t.encode(texts)] == [t.library.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(t.words) <= 20 + 100
+
+
+def test_remainders_hold_their_ids_only():
+    """A document's rest that waits doesn't keep the whole document."""
+    packer = packing.Packer()
+    packer.add(1, np.arange(100 * packing.WINDOW + 5))
+    assert packer.waiting[5][0][3].base is None
