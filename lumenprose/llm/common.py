@@ -75,6 +75,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 2048
             at = end
 
 
+def give_back() -> None:
+    """Returns memory that is held but not in use to the system, so that a Python worker that waits for a task stays small."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
@@ -87,5 +93,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        columns = None
+        give_back()
 
     return df.mapInArrow(run, ddl)

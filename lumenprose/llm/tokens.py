@@ -23,6 +23,8 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+from .common import give_back
+
 #: Words that the cache keeps at most, and bytes of them; beyond that the half that was used last stays.
 CACHE_ENTRIES, CACHE_BYTES = 500_000, 16_000_000
 #: Words whose ids are gathered at once.
@@ -188,8 +190,7 @@ class WordCachedTokenizer:
         self._keep(coded.dictionary, ids, first[:n], count[:n], used[:n])
         if len(flat) >= _GATHERED:  # a worker that waits holds the cache only, not what a slice took
             del pieces, lists, coded, which, each
-            pa.default_memory_pool().release_unused()
-            pa.system_memory_pool().release_unused()
+            give_back()
         return out
 
     def _keep(self, words: pa.Array, ids: np.ndarray, first: np.ndarray, count: np.ndarray, used: np.ndarray) -> None:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, map_rows, stored, table, text_slices
+from .common import give_back, held_out, id_and_text, map_rows, stored, table, text_slices
 
 #: Labelled rows for learning, at most.
 SAMPLE = 12_000
@@ -433,6 +433,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in text_slices(batches, at):
             kept = pa.array([grammar.score(t) < threshold for t in batch.column(at).to_pylist()], type=pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:at], schema=pa.schema(list(batch.schema)[:at])).filter(kept)
+        batch = kept = None
+        give_back()
 
     own = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("own text")
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns), own).mapInArrow(run, docs.schema)
