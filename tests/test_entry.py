@@ -27,6 +27,17 @@ def test_query_equals_sql(spark, name):
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["det_safety_start", "det_safety_reason", "det_contractions"])
+def test_keys_beyond_a_step(spark, tmp_path, name):
+    """Ids of the SQL repeat from a million keys on: number * STEP + key. Each sentence stays a document of its own."""
+    spark.createDataFrame([(5,), (catalog.STEP + 5,), (2 * catalog.STEP + 5,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    want = con.sql(catalog.oracle_sql()[name])
+    assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
+
+
 def test_corpus_rules_on_prose(spark, tmp_path):
     """Prose with findings of each rule, accents, cases that aren't findings, null and empty texts."""
     docs = [(1, "She's here; they don’t go. He has gone and it is turning."), (2, "We must have moved it. This is going to stop. Été: hé, her man."), (3, None), (4, ""), (5, "I had already seen this; this shows more. They are being good.")]
