@@ -38,6 +38,7 @@ class Check:
     def release(self) -> None:
         """Gives back what the check holds on the executors."""
         self.segs.unpersist()
+        self.findings.unpersist()
 
 
 def check(docs: DataFrame, level: int | str = 80, mark: int | None = None, doc_type: str = "auto", allow: list[str] | None = None, words: DataFrame | None = None, names: list[str] | None = None) -> Check:
@@ -51,6 +52,8 @@ def check(docs: DataFrame, level: int | str = 80, mark: int | None = None, doc_t
         found = found.unionByName(dictionary.dictionary_findings(segs, words, allow).select(*found.columns))
     found = findings.finish(found, segs, allow)
     found = found.withColumn("message", message(F.col("rule"), F.col("fix"))).withColumn("note", F.lit(""))
+    # reviews and numbers read the findings many times; without this, each time would run all detectors again
+    found = found.persist()
     spark = docs.sparkSession
     return Check(docs, segs, found, scoring.score(docs, segs, found, mark), spark.createDataFrame([], REWRITES), spark.createDataFrame([], WARNINGS), level, mark, list(allow or []), words)
 

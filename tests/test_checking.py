@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenprose.functions import lexicon as L
-from lumenprose.operators import checking, dictionary, findings, views
+from lumenprose.operators import checking, dictionary, findings, scoring, views
 from lumenprose.sources import files
 
 NAMES = ["substitutions", "semicolons", "noun_clusters", "two_instructions"]
@@ -115,3 +115,18 @@ def test_each_rule_of_a_detector_has_a_message():
 
     assert set(MESSAGES) <= set(L.TIER)
     assert {r for _, rule, _ in detectors.REGISTRY for r in ([rule] if isinstance(rule, str) else rule) if r in L.TIER} <= set(MESSAGES)
+
+
+def test_findings_are_computed_once(spark):
+    """Reviews read the findings many times, and the total of scores doesn't plan what is below it a second time."""
+    done = checking.check(spark.createDataFrame([(1, "You can't go.")], "doc_id long, text string"), names=["contractions"])
+    assert done.findings.is_cached
+    done.release()
+    assert not done.findings.is_cached
+    docs = spark.createDataFrame([(1,)], "doc_id long")
+    segs = spark.createDataFrame([(1, 1, "desc", 3)], "doc_id long, seg_no int, kind string, words int")
+    found = spark.createDataFrame([(1, 1, 60, True)], "doc_id long, seg_no int, tier int, counted boolean")
+    scores = scoring.score(docs, segs, found)
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3
+    assert [tuple(r) for r in scores.select("doc_id", "segments", "violations", "score").orderBy("doc_id").collect()] == [(None, 1, 1, 0.0), (1, 1, 1, 0.0)]
+    assert [tuple(r) for r in scoring.score(docs.limit(0), segs.limit(0), found.limit(0)).select("doc_id", "segments", "score").collect()] == [(None, 0, 100.0)]
