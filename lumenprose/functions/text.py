@@ -29,8 +29,38 @@ def clean(text: Column) -> Column:
 
 
 def either(words: list[str]) -> str:
-    """An alternation of literal words, longer ones first."""
-    return "|".join(w.replace(".", r"\.") for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    """An alternation of literal words, longer ones first. Beginnings in common are written once, so that few branches are
+    tried at a place; of words that begin alike, the longer one is still tried first."""
+    return tree([list(w) for w in words], lambda c: r"\." if c == "." else c)
+
+
+def tree(words: list[list[str]], written: Callable[[str], str]) -> str:
+    """An alternation of words, each a list of units; ``written`` gives a unit's pattern. See ``either``."""
+    root: dict = {}
+    for w in words:
+        at = root
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def rest(node: dict) -> str:
+        branches = []
+        for c in sorted(k for k in node if k):
+            head = written(c)
+            below = node[c]
+            while len(below) == 1 and "" not in below:
+                c = next(iter(below))
+                head, below = head + written(c), below[c]
+            branches.append(head + rest(below))
+        if not branches:
+            return ""
+        body = "|".join(branches)
+        if "" in node:
+            return f"(?:{body})?"
+        return f"(?:{body})" if len(branches) > 1 else body
+
+    out = rest(root)
+    return out[3:-1] if out.startswith("(?:") and out.endswith(")") and "" not in root and len(root) > 1 else out
 
 
 def matches(text: Column, rx: str, groups: int = 0, shown: str = "$0", sure: bool = False) -> Column:
@@ -184,6 +214,10 @@ def top_spans(masked: Column) -> Column:
     return F.when(masked.rlike(r'["(]'), F.aggregate(matches(masked, r'["()]'), zero, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
+#: Whether a number may have its unit behind it; more may match than merge.
+_MEASURE = rf"(?Ud)\d[\d.,\-–]* ?(?:{either(L.UNITS)})(?!\w)"
+
+
 def count_words(masked: Column) -> Column:
     """Words as the language counts them: a top-level span, a number with its unit and a run of capitalised words are one each."""
     return let(top_spans(masked), lambda spans: _count_words(masked, spans))
@@ -207,6 +241,6 @@ def _count_words(masked: Column, spans: Column) -> Column:
         return F.struct((s["n"] + F.when((span | word) & ~number & ~title, 1).otherwise(0)).alias("n"), prev.alias("prev"), kind.alias("kind"), F.when(span | word, F.lit("")).otherwise(x).alias("gap"))
 
     fold = F.aggregate(units, zero, step, lambda s: s["n"])
-    # the fold is needed only where something could merge
-    simple = ~masked.rlike(r'["(]') & ~masked.rlike(r"(?U)\d") & ~masked.rlike(r"(?U)[\p{Lu}\p{Lt}][^ ]* [\p{Lu}\p{Lt}]")
+    # the fold is needed only where something could merge: a span, a number with its unit, capitalised words
+    simple = ~masked.rlike(r'["(]') & ~masked.rlike(_MEASURE) & ~masked.rlike(r"(?U)[\p{Lu}\p{Lt}][^ ]* [\p{Lu}\p{Lt}]")
     return F.when(simple, F.size(F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)))).otherwise(fold).cast("int")

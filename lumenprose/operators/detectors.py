@@ -149,26 +149,14 @@ def make_sure(segs: DataFrame) -> DataFrame:
 @detector("1.14")
 def spelling(segs: DataFrame) -> DataFrame:
     known = L.spellings()
-    # letters that a British spelling has, tested before words are taken apart; words are looked up before they become rows
-    some = S().rlike(I + rf"(?:{alternation(_parts(known))})")
-    words = F.filter(X.matches(S(), r"(?Ud)(?<![\w'\-])[A-Za-z]{4,}(?![\w'\-])"), lambda m: F.lower(m["text"]).isin(list(known)))
-    rows = segs.filter(some).select("doc_id", "seg_no", "kind", "idx", "masked", "text", F.explode(words).alias("m")).withColumn("british", F.lower(M()["text"]))
+    # words of ASCII letters, also where case is ignored: no letter beyond ASCII stands for one of them
+    rows = hits(segs, rf"(?Ud)(?<![\w'\-])(?i-Uu:{alternation(list(known))})(?![\w'\-])").withColumn("british", F.lower(M()["text"]))
     table = segs.sparkSession.createDataFrame(list(known.items()), "british string, american string")
     # the table has a fixed number of rows
     rows = rows.join(F.broadcast(table), "british")
     return found(rows, "1.14", fix=X.keep_case(M()["text"], F.col("american")))
 
 
-def _parts(known: dict[str, str]) -> list[str]:
-    """The four letters around the place where each pair of spellings parts."""
-    out = set()
-    for british, american in known.items():
-        at = next((i for i, (x, y) in enumerate(zip(british, american, strict=False)) if x != y), min(len(british), len(american)))
-        at = max(0, min(at - 1, len(british) - 4))
-        out.add(british[at : at + 4])
-    return sorted(out)
-
-
 @detector("1.3")
 def meanings(segs: DataFrame) -> DataFrame:
     about = hits(segs, I + rf"\babout(?=\s+(?:\d|(?:a\s+|an\s+)?(?:{alternation(L.NUMBER_WORDS)})\b))")
@@ -217,7 +205,7 @@ def substitutions(segs: DataFrame, more: list[str] | None = None) -> DataFrame:
         for r in rows:
             for p in _phrases(r):
                 table.setdefault(p, r)
-        pattern = "|".join("(?:" + "|".join(sorted((p.replace(" ", r"\s+") for p in _phrases(r)), key=len, reverse=True)) + ")" for r in rows)
+        pattern = X.tree([list(p) for p in table], lambda c: r"\s+" if c == " " else c)
         known = segs.sparkSession.createDataFrame([(p, r["use"], r["rule"], r["tier"], r["ctx"], r["conf"]) for p, r in table.items()], "phrase string, use string, w_rule string, w_tier int, ctx string, w_conf string")
         got = hits(segs, I + rf"(?<![\w'\-])(?:{pattern})(?![\w'\-])").withColumn("phrase", F.regexp_replace(F.lower(M()["text"]), r"(?U)\s+", " ")).join(F.broadcast(known), "phrase")
         first = X.first_token(S())

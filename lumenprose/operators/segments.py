@@ -37,7 +37,10 @@ def segments(docs: DataFrame, doc_type: str = "auto", structured: bool = True) -
     down = F.coalesce(F.sum(newlines(F.col("s.text"))).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + newlines(F.substring("s.text", F.lit(1), lead))
     rows = rows.withColumn("line", F.get("numbers", down.cast("int"))).filter(F.col("s.masked").rlike(r"(?U)\w"))
     rows = rows.withColumn("idx", (F.row_number().over(before) - 1).cast("int"))
-    rows = rows.select("doc_id", "block", "shape", "signal", "idx", "line", F.substring("s.text", lead + 1, size).alias("text"), F.substring("s.masked", lead + 1, size).alias("masked"))
+    # pieces are in order of idx; with them in the order, one sort serves the numbers in a block and in the document
+    order = Window.partitionBy("doc_id").orderBy("block", "piece")
+    rows = rows.withColumn("seg_no", F.row_number().over(order))
+    rows = rows.select("doc_id", "seg_no", "piece", "block", "shape", "signal", "idx", "line", F.substring("s.text", lead + 1, size).alias("text"), F.substring("s.masked", lead + 1, size).alias("masked"))
     command = X.is_imperative(F.col("masked"))
     step = (F.col("shape") == "num") & (F.col("idx") == 0)
     kind = F.when(F.col("shape").isin("title", "cell"), F.col("shape")).when(F.col("signal") != "", F.col("signal"))
@@ -45,9 +48,8 @@ def segments(docs: DataFrame, doc_type: str = "auto", structured: bool = True) -
     rows = rows.withColumn("command", command).withColumn("kind", kind)
     if structured:
         rows = _demoted(rows)
-    rows = rows.select("doc_id", "block", "idx", "line", "kind", "text", "masked", X.count_words(F.col("masked")).alias("words"))
-    order = Window.partitionBy("doc_id").orderBy("block", "idx")
-    return rows.withColumn("seg_no", F.row_number().over(order)).select("doc_id", "seg_no", "block", "idx", "line", "kind", "text", "masked", "words")
+    rows = rows.withColumn("words", X.count_words(F.col("masked")))
+    return rows.select("doc_id", "seg_no", "block", "idx", "line", "kind", "text", "masked", "words")
 
 
 def newlines(x):
@@ -57,8 +59,8 @@ def newlines(x):
 def _demoted(rows: DataFrame) -> DataFrame:
     """In a list of adjacent numbered blocks of which less than half are commands, the others are descriptions."""
     step = (F.col("shape") == "num") & (F.col("idx") == 0) & (F.col("kind") == "proc")
-    within = Window.partitionBy("doc_id", step).orderBy("block")
-    marked = rows.withColumn("is_step", step).withColumn("island", F.when(F.col("is_step"), F.col("block") - F.row_number().over(within)))
+    sofar = Window.partitionBy("doc_id").orderBy("block", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("is_step", step).withColumn("island", F.when(F.col("is_step"), F.col("block") - F.sum(F.col("is_step").cast("int")).over(sofar)))
     whole = Window.partitionBy("doc_id", "island", "is_step")
     few = 2 * F.sum(F.col("command").cast("int")).over(whole) < F.count("*").over(whole)
     return marked.withColumn("kind", F.when(F.col("is_step") & ~F.col("command") & few, "desc").otherwise(F.col("kind"))).drop("is_step", "island")
