@@ -34,11 +34,14 @@ class Check:
     allow: list[str] = field(default_factory=list)
     words: DataFrame | None = None
     reviewed: bool = False
+    #: The findings before any review, which are stored.
+    first: DataFrame | None = None
 
     def release(self) -> None:
         """Gives back what the check holds on the executors."""
         self.segs.unpersist()
-        self.findings.unpersist()
+        if self.first is not None:
+            self.first.unpersist()
 
 
 def check(docs: DataFrame, level: int | str = 80, mark: int | None = None, doc_type: str = "auto", allow: list[str] | None = None, words: DataFrame | None = None, names: list[str] | None = None) -> Check:
@@ -55,7 +58,7 @@ def check(docs: DataFrame, level: int | str = 80, mark: int | None = None, doc_t
     # reviews and numbers read the findings many times; without this, each time would run all detectors again
     found = found.persist()
     spark = docs.sparkSession
-    return Check(docs, segs, found, scoring.score(docs, segs, found, mark), spark.createDataFrame([], REWRITES), spark.createDataFrame([], WARNINGS), level, mark, list(allow or []), words)
+    return Check(docs, segs, found, scoring.score(docs, segs, found, mark), spark.createDataFrame([], REWRITES), spark.createDataFrame([], WARNINGS), level, mark, list(allow or []), words, first=found)
 
 
 def apply_review(done: Check, decisions: DataFrame | None = None, items: DataFrame | None = None, rewrites: DataFrame | None = None) -> Check:
